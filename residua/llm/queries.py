@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from residua.functions.residues import accession, clean_sequence
 from residua.llm.components import connected_groups
+from residua.llm.copies import texts
+from residua.llm.forest import similar_pairs
 from residua.llm.topn import top_n
 from residua.workspace import Workspace
 
@@ -50,5 +52,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("record").alias("accession"), F.col("group").alias("group_accession"))
 
 
+def sequences(spark: SparkSession, folder: str, tables: list[str], least: int) -> DataFrame:
+    """``id``, ``text``: record_ordinal and clean sequence of all rows of the tables."""
+    return texts([read(spark, folder, t) for t in tables], "record_ordinal", clean_sequence(F.col("sequence")), least)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows of processed and proteins whose clean sequences are alike."""
+    found = similar_pairs(sequences(spark, folder, ["processed", "proteins"], 5), 0.5)
+    return found.select(F.col("a").alias("record_ordinal_a"), F.col("b").alias("record_ordinal_b"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}

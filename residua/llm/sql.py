@@ -38,5 +38,30 @@ reached(a, low) USING KEY (a) AS (
 SELECT a AS accession, low AS group_accession FROM reached"""
 
 
+_CLEAN = "regexp_replace(regexp_replace(upper(sequence), '[\\s0-9.~-]', '', 'g'), '\\*$', '')"
+
+
+def _windows(source: str) -> str:
+    """Distinct 5-letter windows of each distinct text of ``source`` (column s), and how many it has."""
+    return f"""
+texts AS (SELECT s, row_number() OVER () AS t FROM (SELECT DISTINCT s FROM {source} WHERE length(s) >= 5)),
+windows AS (SELECT DISTINCT t, substr(s, i, 5) AS w
+            FROM (SELECT t, s, unnest(range(1, length(s) - 3)) AS i FROM texts)),
+sizes AS (SELECT t, count(*) AS n FROM windows GROUP BY t),
+shared AS (SELECT x.t AS a, y.t AS b, count(*) AS c FROM windows x JOIN windows y USING (w) WHERE x.t < y.t GROUP BY 1, 2),
+near AS (SELECT a, b FROM shared JOIN sizes p ON p.t = a JOIN sizes q ON q.t = b WHERE 2 * c >= p.n + q.n - c
+         UNION ALL SELECT b, a FROM shared JOIN sizes p ON p.t = a JOIN sizes q ON q.t = b WHERE 2 * c >= p.n + q.n - c
+         UNION ALL SELECT t, t FROM texts)"""
+
+
+P5 = f"""
+WITH seqs AS (SELECT record_ordinal AS id, {_CLEAN} AS s FROM processed
+              UNION ALL SELECT record_ordinal, {_CLEAN} FROM proteins),
+{_windows("seqs")},
+placed AS (SELECT id, t FROM seqs JOIN texts USING (s))
+SELECT x.id AS record_ordinal_a, y.id AS record_ordinal_b
+FROM placed x JOIN near ON x.t = near.a JOIN placed y ON y.t = near.b WHERE x.id < y.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p3_found": P3}
+    return {"p2_found": P2, "p3_found": P3, "p5_found": P5}
