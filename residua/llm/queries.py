@@ -11,6 +11,8 @@ from residua.functions.residues import accession, clean_sequence
 from residua.llm.components import connected_groups
 from residua.llm.copies import texts
 from residua.llm.forest import similar_pairs
+from residua.llm.history import History
+from residua.llm.spans import shared_spans
 from residua.llm.topn import top_n
 from residua.workspace import Workspace
 
@@ -36,6 +38,26 @@ def hits(spark: SparkSession, folder: str, search: str) -> DataFrame:
     )
 
 
+#: The ledger is replayed in so many batches of about equal size, split between cycles.
+REPLAYS = 4
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of processed that repeat, exactly or nearly, a row of an earlier cycle: the ledger replayed batch by batch."""
+    ledger = read(spark, folder, "processed").select(
+        F.col("record_ordinal").alias("id"), F.col("seq_sha256").alias("digest"), clean_sequence(F.col("sequence")).alias("text"), F.col("first_seen_cycle").alias("cycle")
+    )
+    ends = sorted({int(x) for x in ledger.approxQuantile("cycle", [i / REPLAYS for i in range(1, REPLAYS)], 0.01)})
+    history, found = History(spark), []
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        batch = ledger if low is None else ledger.where(F.col("cycle") > low)
+        found.append(history.ingest(batch if high is None else batch.where(F.col("cycle") <= high)))
+    result = found[0]
+    for more in found[1:]:
+        result = result.unionAll(more)
+    return result.select(F.col("id").alias("record_ordinal"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The five best targets of every query of either search."""
     parts = []
@@ -57,6 +79,20 @@ def sequences(spark: SparkSession, folder: str, tables: list[str], least: int) -
     return texts([read(spark, folder, t) for t in tables], "record_ordinal", clean_sequence(F.col("sequence")), least)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of processed and alphafold_cache that occur letter for letter in another record."""
+    found = shared_spans(sequences(spark, folder, ["processed", "alphafold_cache"], 40), 40)
+    return found.withColumnRenamed("id", "record_ordinal")
+
+
+def p4_share(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each record with a shared stretch is shared elsewhere."""
+    rows = sequences(spark, folder, ["processed", "alphafold_cache"], 40)
+    spans = shared_spans(rows, 40).groupBy("id").agg(F.sum(F.expr("span_end - span_start + 1")).alias("shared"))
+    sized = rows.select("id", F.length("text").cast("long").alias("letters")).join(spans, "id")
+    return sized.select(F.col("id").alias("record_ordinal"), "letters", "shared", (F.col("shared") / F.col("letters")).alias("share"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows of processed and proteins whose clean sequences are alike."""
     found = similar_pairs(sequences(spark, folder, ["processed", "proteins"], 5), 0.5)
@@ -64,4 +100,4 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found}

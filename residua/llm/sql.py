@@ -54,6 +54,34 @@ near AS (SELECT a, b FROM shared JOIN sizes p ON p.t = a JOIN sizes q ON q.t = b
          UNION ALL SELECT t, t FROM texts)"""
 
 
+P1 = f"""
+WITH seqs AS (SELECT record_ordinal AS id, first_seen_cycle AS c, lower(seq_sha256) AS h, {_CLEAN} AS s FROM processed),
+{_windows("seqs")},
+firsts AS (SELECT t, min(c) AS c FROM seqs JOIN texts USING (s) GROUP BY t),
+earliest AS (SELECT a AS t, min(c) AS c FROM near JOIN firsts ON b = t GROUP BY a),
+digests AS (SELECT h, min(c) AS c FROM seqs GROUP BY h)
+SELECT id AS record_ordinal FROM seqs
+LEFT JOIN digests USING (h) LEFT JOIN texts USING (s) LEFT JOIN earliest USING (t)
+WHERE seqs.c > digests.c OR seqs.c > earliest.c"""
+
+_SPANS = f"""
+seqs AS (SELECT record_ordinal AS id, {_CLEAN} AS s FROM processed
+         UNION ALL SELECT record_ordinal, {_CLEAN} FROM alphafold_cache),
+windows AS (SELECT id, i, substr(s, i, 40) AS w FROM (SELECT id, s, unnest(range(1, length(s) - 38)) AS i FROM seqs WHERE length(s) >= 40)),
+repeated AS (SELECT w FROM windows GROUP BY w HAVING min(id) <> max(id)),
+places AS (SELECT DISTINCT id, i FROM windows JOIN repeated USING (w)),
+marked AS (SELECT id, i, CASE WHEN i > lag(i) OVER (PARTITION BY id ORDER BY i) + 40 THEN 1 ELSE 0 END AS jump FROM places),
+runs AS (SELECT id, i, sum(jump) OVER (PARTITION BY id ORDER BY i) AS run FROM marked),
+spans AS (SELECT id, min(i) AS span_start, max(i) + 39 AS span_end FROM runs GROUP BY id, run)"""
+
+P4 = f"WITH {_SPANS} SELECT id AS record_ordinal, span_start, span_end FROM spans"
+
+P4_SHARE = f"""
+WITH {_SPANS}
+SELECT id AS record_ordinal, length(any_value(s)) AS letters, sum(span_end - span_start + 1)::BIGINT AS shared,
+       sum(span_end - span_start + 1) / length(any_value(s)) AS share
+FROM spans JOIN seqs USING (id) GROUP BY id"""
+
 P5 = f"""
 WITH seqs AS (SELECT record_ordinal AS id, {_CLEAN} AS s FROM processed
               UNION ALL SELECT record_ordinal, {_CLEAN} FROM proteins),
@@ -64,4 +92,4 @@ FROM placed x JOIN near ON x.t = near.a JOIN placed y ON y.t = near.b WHERE x.id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p3_found": P3, "p5_found": P5}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_share": P4_SHARE, "p5_found": P5}

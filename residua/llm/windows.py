@@ -54,7 +54,7 @@ def rolling(points: np.ndarray, width: int, seed: int) -> np.ndarray:
     """A 64-bit hash of the window of ``width`` letters at each place, by doubling."""
     if len(points) < width:
         return np.zeros(0, np.uint64)
-    piece = mix(points + np.uint64(seed) * _GOLD)
+    piece = mix(points + np.uint64(seed * int(_GOLD) % 2**64))
     total, done, size, shift = None, 0, 1, np.uint64(0x5851F42D4C957F2D)
     while True:
         if width & size:
