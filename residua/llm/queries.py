@@ -12,6 +12,8 @@ from residua.llm.components import connected_groups
 from residua.llm.copies import texts
 from residua.llm.forest import similar_pairs
 from residua.llm.history import History
+from residua.llm.leaks import leaks, without_leaks
+from residua.llm.mixing import Mixture
 from residua.llm.spans import shared_spans
 from residua.llm.topn import top_n
 from residua.workspace import Workspace
@@ -99,5 +101,41 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("a").alias("record_ordinal_a"), F.col("b").alias("record_ordinal_b"))
 
 
+def _documents_and_items(spark: SparkSession, folder: str) -> tuple:
+    return read(spark, folder, "documents"), "doc_id", "text", read(spark, folder, "eval_items"), "item_id", "text"
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of an evaluation item."""
+    found = leaks(*_documents_and_items(spark, folder))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaking documents without the leaked spans."""
+    found = without_leaks(*_documents_and_items(spark, folder))
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return Mixture(read(spark, folder, "documents"), "doc_id", "source", "text", read(spark, folder, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """What each plan draws: one row per copy in a shuffled order, with the share its source reaches."""
+    mixture = _mixture(spark, folder)
+    drawn = mixture.workspace.save(mixture.drawn(), "mix-drawn")
+    shares = mixture.shares(drawn).select("plan_id", "source", "target_share", F.col("share_of_total").alias("reached_share"))
+    rows = mixture.shuffled(drawn.join(F.broadcast(shares), ["plan_id", "source"]))
+    return rows.select("plan_id", "place", F.col("id").alias("doc_id"), "copy", "repeats", "source", "tokens", "target_share", "reached_share")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached shares of every plan and source."""
+    mixture = _mixture(spark, folder)
+    return mixture.shares(mixture.drawn())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found,
+        "p6_found": p6_found, "p6_removed": p6_removed, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
