@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from residua.functions.residues import accession, clean_sequence
 from residua.llm.components import connected_groups
 from residua.llm.copies import texts
+from residua.llm.encoding import Garbled
 from residua.llm.forest import similar_pairs
 from residua.llm.history import History
 from residua.llm.leaks import leaks, without_leaks
@@ -136,6 +137,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(mixture.drawn())
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a stretch that was decoded in a wrong encoding."""
+    return Garbled(read(spark, folder, "documents"), "doc_id", "text").documents().withColumnRenamed("doc", "doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """These documents with the original words, where no bytes were lost."""
+    return Garbled(read(spark, folder, "documents"), "doc_id", "text").restored().withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found,
-        "p6_found": p6_found, "p6_removed": p6_removed, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+        "p6_found": p6_found, "p6_removed": p6_removed, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_restored": p8_restored}
