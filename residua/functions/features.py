@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from residua.functions.residues import STANDARD
 
@@ -20,7 +21,7 @@ METAL_PATTERN, HISTIDINE_PATTERN, GLYCINE_PATTERN = "C.{2,4}C.{6,18}H.{2,4}H", "
 CELL_WALL_PATTERNS = ("S..K", "S.N", "KTG")
 
 
-@F.pandas_udf("triplet int, membrane int")
+@F.pandas_udf(T.StructType([T.StructField("triplet", T.IntegerType()), T.StructField("membrane", T.IntegerType())]))
 def _window_counts(residues: pd.Series) -> pd.DataFrame:
     """Most frequent overlapping triplet, and most hydrophobic letters in one membrane window; whole batches at once."""
     texts = residues.fillna("").tolist()
