@@ -33,9 +33,11 @@ def small(ids: np.ndarray) -> np.ndarray:
 
 def cut(bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """The entries of each bucket as one blob."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, arrays = bucket[order], [a[order] for a in arrays]
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for lo, hi in zip(edge, [*edge[1:], len(bucket)], strict=True):
         yield int(bucket[lo]), pack([a[lo:hi] for a in arrays])
 

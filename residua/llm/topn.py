@@ -43,7 +43,7 @@ def top_n(
     data = rows.select(*keys, item, F.col(score).cast("double").alias(score))
     data = data.dropna(subset=[*keys, item, score]).where(~F.isnan(score))
     # The cuts are a handful of numbers whatever the size of the table.
-    cuts = sorted(set(data.approxQuantile(score, list(quantiles), 0.01)), reverse=True)
+    cuts = sorted(set(data.approxQuantile(score, list(quantiles), 0.01)), reverse=True) if quantiles else []
     band = reduce(lambda rest, i: F.when(F.col(score) >= cuts[i], i).otherwise(rest), reversed(range(len(cuts))), F.lit(len(cuts)))
     banded = workspace.save(data.withColumn("_band", band), f"{tag}-bands", "_band")
 

@@ -37,16 +37,23 @@ def owners(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def five_codes(points: np.ndarray) -> np.ndarray:
-    """A 64-bit code of the 5-letter window at each place: exact for code points below 4096, else hashed."""
+    """A 64-bit code of the 5-letter window at each place, whatever stands around it.
+
+    Exact below 2 ** 60 where all code points are below 4096; else hashed, with the top bit set.
+    """
     if len(points) < 5:
         return np.zeros(0, np.uint64)
-    base = np.uint64(4096)
-    if len(points) and points.max() >= 4096:
-        points = mix(points + _GOLD)
-        base = _GOLD
-    code = points[:-4].copy()
-    for i in range(1, 5):
-        code = code * base + points[i : len(points) - 4 + i]
+
+    def total(values: np.ndarray, base: np.uint64) -> np.ndarray:
+        code = values[:-4].copy()
+        for i in range(1, 5):
+            code = code * base + values[i : len(values) - 4 + i]
+        return code
+
+    code, high = total(points, np.uint64(4096)), points >= 4096
+    if high.any():
+        count = np.concatenate([[0], np.cumsum(high)])
+        code = np.where(count[5:] > count[:-5], total(mix(points + _GOLD), _GOLD) | np.uint64(1 << 63), code)
     return code
 
 
