@@ -2,11 +2,13 @@
 
 Every distinct corpus word that is not plain ASCII is put through all chains of wrong decoding. The
 forms are joined by hash with the words of the documents; a word that is the garbled form
-of another is accepted where corpus counts confirm it, and replaced by its original.
+of another is accepted where it cannot be clean text, where corpus counts confirm it or where another
+word of its document went through the same chain, and is replaced by its original.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +30,15 @@ READ_AS = (
     "cp1254", "cp1257", "gbk", "cp932", "shift_jis", "big5", "cp949", "utf-8",
 )
 TWICE = ("cp1252", "latin-1", "cp437", "cp850", "mac-roman", "cp1251", "cp1250")
-#: Documents with a garbled form, as a share of those with the original word, that are believed at most: for
+#: Forms that no clean text can hold are believed whatever their count. Of the rest, documents with a garbled form,
+#: as a share of those with the original word, that are believed at most without further evidence: for
 #: a chain that starts from UTF-8 bytes (its forms look like nothing else), for any other, and for any other that
 #: gives a single sign (rare signs are also written on purpose).
 MOST_UTF8, MOST_OTHER, MOST_SIGN = 0.5, 0.1, 0.003
+#: The same for a single sign in a document that has another word of the same chain.
+MOST_SIGNS = 0.2
+#: Letters from which a word that looks clean is believed once fewer documents have it than its original.
+LONG = 4
 #: Garbled words up to which their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_FORMS = 200_000
 #: A run of letters, digits and signs beyond ASCII, with at least one of the latter.
@@ -58,9 +65,10 @@ def readings(raw: bytes, codec: str) -> set[str]:
 
 
 @lru_cache(maxsize=200_000)
-def garbled(word: str) -> dict[str, str]:
-    """All forms of ``word`` after one or more wrong decodings, with the kind of chain: ``utf8``, ``twice`` or ``other``."""
+def chains(word: str) -> dict[str, tuple[str, frozenset[int]]]:
+    """All forms of ``word`` after wrong decodings: kind (``utf8``, ``twice`` or ``other``), and the numbers of the single legacy chains that give it."""
     found: dict[str, str] = {}
+    legacy: dict[str, set[int]] = {}
     raw = word.encode("utf-8", "surrogatepass")
     first: list[str] = []
     for codec in UTF8_READ_AS:
@@ -79,18 +87,66 @@ def garbled(word: str) -> dict[str, str]:
         for codec in TWICE[:2]:
             for again in readings(form.encode("utf-8", "surrogatepass"), codec):
                 found.setdefault(again, "twice")
-    for source in WRITTEN_IN:
+    for i, source in enumerate(WRITTEN_IN):
         try:
             raw = word.encode(source)
         except UnicodeEncodeError:
             continue
-        for codec in READ_AS:
+        for j, codec in enumerate(READ_AS):
             if codec != source:
                 for form in readings(raw, codec):
                     found.setdefault(form, "other")
+                    legacy.setdefault(form, set()).add(i * len(READ_AS) + j)
     found.pop(word, None)
     found.pop("", None)
-    return {form: kind for form, kind in found.items() if not form.isascii()}
+    return {form: (kind, frozenset(legacy.get(form, ()))) for form, kind in found.items() if not form.isascii()}
+
+
+def garbled(word: str) -> dict[str, str]:
+    """All forms of ``word`` after one or more wrong decodings, with the kind of chain: ``utf8``, ``twice`` or ``other``."""
+    return {form: kind for form, (kind, _) in chains(word).items()}
+
+
+def unclean(word: str) -> int:
+    """Signs that ``word`` cannot have been written so: control signs, lost bytes, and letters with other scripts, capitals or symbols in their midst."""
+    count = 0
+    for at, sign in enumerate(word):
+        if sign < "\x80":
+            continue
+        if sign < "\xa0" or sign == "\ufffd":
+            count += 1
+            continue
+        left, right = word[at - 1] if at else "", word[at + 1] if at + 1 < len(word) else ""
+        kind = unicodedata.category(sign)
+        if "\u2500" <= sign <= "\u259f":
+            count += left.isalpha() or right.isalpha()
+        elif left.isalpha() and right.isalpha():
+            if kind[0] == "S" or kind == "No":
+                count += 1
+            elif kind[0] == "L" and (_script(left) == _script(right) != _script(sign)):
+                count += 1
+        if kind == "Lu" and left.islower() or kind == "Ll" and _script(sign) == "LATIN" and right.isascii() and right.isupper():
+            count += 1
+    return count
+
+
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "").split(" ")[0]
+
+
+def believable(word: str, original: str, kind: str, docs: int, original_docs: int) -> int:
+    """3: garbled whatever the counts; 2: garbled by the counts; 1: garbled if another word of its document has the same chain; 0: not garbled."""
+    single = len(word) == 1
+    most = MOST_UTF8 if kind != "other" else MOST_SIGN if single and word != "\ufffd" else MOST_OTHER
+    if not single and kind == "other" and unclean(word) > 0 == unclean(original):
+        return 3
+    if not single and kind != "other" and (unclean(word) > unclean(original)):
+        return 3
+    if docs <= most * original_docs:
+        return 2
+    if unclean(word) < unclean(original) or docs >= original_docs or (single and docs > MOST_SIGNS * original_docs):
+        return 0
+    return 2 if len(word) >= LONG else 1
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,15 +154,22 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             rows = [
-                (form, word, kind, count)
+                (form, word, kind, sorted(numbers), count)
                 for word, count in zip(part.column("word").to_pylist(), part.column("docs").to_pylist(), strict=True)
-                for form, kind in garbled(word).items()
+                for form, (kind, numbers) in chains(word).items()
             ]
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            names = (("word", pa.string()), ("original", pa.string()), ("kind", pa.string()), ("original_docs", pa.int64()))
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            names = (("form", pa.string()), ("original", pa.string()), ("kind", pa.string()), ("chains", pa.list_(pa.int32())), ("original_docs", pa.int64()))
             yield pa.RecordBatch.from_pydict({name: pa.array(list(c), kind) for (name, kind), c in zip(names, columns, strict=True)})
 
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in ("word", "original", "kind", "docs", "original_docs")]
+        belief = pa.array([believable(*row) for row in zip(*columns, strict=True)], pa.int32())
+        yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in ("word", "original", "kind", "chains", "original_docs")} | {"belief": belief})
+
+
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, done, left = [], [], []
@@ -134,16 +197,28 @@ class Garbled:
         spoken = beyond.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
         self.spoken = self.workspace.save(spoken, "garbled-words")
         vocabulary = self.workspace.save(self.spoken.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "garbled-vocabulary")
-        forms = vocabulary.repartition(4 * documents.sparkSession.sparkContext.defaultParallelism).mapInArrow(_forms, "word string, original string, kind string, original_docs long")
-        most = F.when(F.col("kind") != "other", MOST_UTF8).when((F.length("word") == 1) & (F.col("word") != "\ufffd"), MOST_SIGN).otherwise(MOST_OTHER)
-        believed = forms.join(vocabulary, "word").where(F.col("docs") <= most * F.col("original_docs"))
-        best = believed.groupBy("word").agg(F.min(F.struct((-F.col("original_docs")).alias("o"), F.col("original"), F.col("kind"))).alias("b"))
-        self.table = self.workspace.save(best.select("word", "b.original", "b.kind"), "garbled-table")
+        forms = vocabulary.repartition(4 * documents.sparkSession.sparkContext.defaultParallelism).mapInArrow(_forms, "form string, original string, kind string, chains array<int>, original_docs long")
+        pairs = forms.join(vocabulary.withColumnRenamed("word", "form"), "form").withColumnRenamed("form", "word")
+        judged = pairs.mapInArrow(_judged, "word string, original string, kind string, chains array<int>, original_docs long, belief int").where("belief > 0")
+        judged = self.workspace.save(judged, "garbled-judged")
+        sure = judged.where("belief = 3").select(F.col("word").alias("original")).distinct()
+        believed = judged.where("belief = 3").unionByName(judged.where("belief < 3").join(sure, "original", "left_anti"))
+        best = believed.groupBy("word").agg(
+            F.min(F.struct((-F.col("original_docs")).alias("o"), F.col("original"), F.col("kind"))).alias("b"),
+            F.array_distinct(F.flatten(F.collect_list("chains"))).alias("chains"),
+            F.max("belief").alias("belief"),
+        )
+        self.table = self.workspace.save(best.select("word", "b.original", "b.kind", "chains", "belief"), "garbled-table")
         self._small = self.table.count() <= BROADCAST_FORMS
 
     def hits(self) -> DataFrame:
         """``doc``, ``word``, ``original``, ``kind``: every garbled word of every document."""
-        return self.spoken.join(F.broadcast(self.table) if self._small else self.table, "word").select("doc", "word", "original", "kind")
+        found = self.spoken.join(F.broadcast(self.table) if self._small else self.table, "word")
+        plain = found.where("belief > 1").select("doc", "word", "original", "kind")
+        weak = found.where("belief = 1").select("doc", "word", "original", "kind", F.explode("chains").alias("chain"))
+        others = found.join(weak.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode("chains").alias("chain"))
+        shared = others.groupBy("doc", "chain").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "chain")
+        return plain.unionByName(weak.join(shared, ["doc", "chain"], "left_semi").drop("chain").distinct())
 
     def documents(self) -> DataFrame:
         """``doc`` of the documents with a garbled word."""

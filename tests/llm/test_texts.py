@@ -117,3 +117,21 @@ def test_garbled_words_are_found_and_restored(spark):
 def test_garbled_counts_words_once_per_document(spark):
     frame = spark.createDataFrame([(1, "süß süß süß"), (2, "süß")], "doc_id long, text string")
     assert encoding.Garbled(frame, "doc_id", "text").spoken.groupBy("word").agg(F.count("*").alias("n")).first().n == 2
+
+
+@pytest.mark.parametrize(("chain", "every"), [(("cp1252", "cp850"), 3), (("utf-8", "latin-1"), 2)])
+def test_garbled_words_are_found_however_many_documents_have_them(spark, chain, every):
+    words = ["größer", "Übung", "später", "naïve", "curator’s", "été", "señal", "région"]
+    rng = random.Random(5)
+    texts = {i: "Ein Wort: größer " + " ".join(rng.choice(words) for _ in range(6)) + "." for i in range(300)}
+    wrong = {i: t.encode(chain[0]).decode(chain[1]) for i, t in texts.items() if i % every == 0}
+    frame = spark.createDataFrame([(i, wrong.get(i, t)) for i, t in texts.items()] + [(900, "clean │ table Å α")], "doc_id long, text string")
+    found = encoding.Garbled(frame, "doc_id", "text")
+    assert {r.doc for r in found.documents().collect()} == set(wrong)
+    assert {r.doc: r.text for r in found.restored().collect()} == {i: texts[i] for i in wrong}
+
+
+def test_doubtful_garbled_signs_need_a_second_word_of_their_chain(spark):
+    docs = [(i, "at 4 Å ± 2 near") for i in range(100)] + [(200 + i, "at 4 ┼ ▒ 2 near") for i in range(15)] + [(300, "a ┼ b")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc for r in encoding.Garbled(frame, "doc_id", "text").documents().collect()} == set(range(200, 215))
