@@ -1,6 +1,7 @@
 """Text decoded with a wrong character encoding: found and restored through the garbled forms of corpus words.
 
-Every distinct corpus word that is not plain ASCII is put through all chains of wrong decoding. The
+Every distinct corpus word that is not plain ASCII is put through wrong decodings of its legacy or UTF-8 bytes; from the
+other end, readings of UTF-8 bytes are undone as often as they go. The
 forms are joined by hash with the words of the documents; a word that is the garbled form
 of another is accepted where it cannot be clean text, where corpus counts confirm it or where another
 word of its document went through the same chain, and is replaced by its original.
@@ -134,11 +135,13 @@ def _script(letter: str) -> str:
     return unicodedata.name(letter, "").split(" ")[0]
 
 
-def believable(word: str, original: str, kind: str, docs: int, original_docs: int) -> int:
+def believable(word: str, original: str, kind: str, undone: bool, docs: int, original_docs: int) -> int:
     """3: garbled whatever the counts; 2: garbled by the counts; 1: garbled if another word of its document has the same chain; 0: not garbled."""
     single = len(word) == 1
+    if single and undone:
+        return 0
     most = MOST_UTF8 if kind != "other" else MOST_SIGN if single and word != "\ufffd" else MOST_OTHER
-    if not single and kind == "other" and unclean(word) > 0 == unclean(original):
+    if not single and (undone or kind == "other" and unclean(word) > 0 == unclean(original)):
         return 3
     if not single and kind != "other" and (unclean(word) > unclean(original)):
         return 3
@@ -149,6 +152,73 @@ def believable(word: str, original: str, kind: str, docs: int, original_docs: in
     return 2 if len(word) >= LONG else 1
 
 
+@lru_cache(maxsize=64)
+def _lost(codec: str) -> tuple[int, ...]:
+    """Continuation bytes without a meaning in a codec of single bytes."""
+    found = []
+    for byte in range(0x80, 0xC0):
+        try:
+            bytes([byte]).decode(codec)
+        except UnicodeDecodeError:
+            found.append(byte)
+    return tuple(found) if len(found) < 32 else ()
+
+
+def _filled(raw: list[int], lost: tuple[int, ...]) -> list[bytes]:
+    """``raw`` with its marked bytes (-1) put back in all ways that give UTF-8, up to 64."""
+    whole = [b""]
+    for byte in raw:
+        whole = [done + bytes([put]) for done in whole for put in ((byte,) if byte >= 0 else lost)]
+        if byte >= 0x80:
+            continue
+        kept = []
+        for done in whole[:4096]:
+            try:
+                done.decode("utf-8")
+            except UnicodeDecodeError as error:
+                if error.reason != "unexpected end of data":
+                    continue
+            kept.append(done)
+        whole = kept[:64]
+    return whole
+
+
+def _one_undone(word: str) -> set[str]:
+    found, marked = set(), any("\x80" <= c < "\xa0" or c == "\ufffd" for c in word)
+    for codec in UTF8_READ_AS:
+        try:
+            found.add(word.encode(codec).decode("utf-8"))
+            continue
+        except UnicodeError:
+            lost = marked and _lost(codec)
+        if not lost or not all(c < "\xa0" or c == "\ufffd" or _fits(c, codec) for c in word):
+            continue
+        raw = [-1 if c == "\ufffd" else c.encode(codec)[0] if _fits(c, codec) else ord(c) for c in word]
+        for text in _filled(raw, lost):
+            try:
+                found.add(text.decode("utf-8"))
+            except UnicodeDecodeError:
+                continue
+    return {text for text in found if text and not text.isascii() and text != word}
+
+
+@lru_cache(maxsize=100_000)
+def _fits(sign: str, codec: str) -> bool:
+    try:
+        return len(sign.encode(codec)) == 1
+    except UnicodeEncodeError:
+        return False
+
+
+def undone(word: str) -> set[str]:
+    """What ``word`` was before the last, the last two, ... readings of its UTF-8 bytes in any encoding, as far back as it goes."""
+    found, fresh = set(), {word}
+    while fresh:
+        fresh = {earlier for later in fresh for earlier in _one_undone(later)} - found - {word}
+        found |= fresh
+    return found
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
@@ -156,17 +226,35 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [
                 (form, word, kind, sorted(numbers), count)
                 for word, count in zip(part.column("word").to_pylist(), part.column("docs").to_pylist(), strict=True)
-                for form, (kind, numbers) in chains(word).items()
+                for form, (kind, numbers) in [(word, ("", ())), *chains(word).items()]
             ]
             columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             names = (("form", pa.string()), ("original", pa.string()), ("kind", pa.string()), ("chains", pa.list_(pa.int32())), ("original_docs", pa.int64()))
             yield pa.RecordBatch.from_pydict({name: pa.array(list(c), kind) for (name, kind), c in zip(names, columns, strict=True)})
 
 
+def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            (form, word, count, form != word)
+            for word, count in zip(batch.column("word").to_pylist(), batch.column("docs").to_pylist(), strict=True)
+            for form in [word, *undone(word)]
+        ]
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        names = (("form", pa.string()), ("word", pa.string()), ("docs", pa.int64()), ("undone", pa.bool_()))
+        yield pa.RecordBatch.from_pydict({name: pa.array(list(c), kind) for (name, kind), c in zip(names, columns, strict=True)})
+
+
+def _as_utf8_only(form: str, numbers: list[int]) -> bool:
+    """Only legacy bytes read as UTF-8 give ``form``, with nothing marked: read back, that is clean text less a sign."""
+    return bool(numbers) and "\ufffd" not in form and all(READ_AS[n % len(READ_AS)] == "utf-8" for n in numbers)
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(name).to_pylist() for name in ("word", "original", "kind", "docs", "original_docs")]
-        belief = pa.array([believable(*row) for row in zip(*columns, strict=True)], pa.int32())
+        columns = [batch.column(name).to_pylist() for name in ("word", "original", "kind", "undone", "docs", "original_docs")]
+        there_and_back = [again and _as_utf8_only(*x) for again, *x in zip(columns[3], *(batch.column(name).to_pylist() for name in ("form", "chains")), strict=True)]
+        belief = pa.array([0 if same else believable(*row) for same, row in zip(there_and_back, zip(*columns, strict=True), strict=True)], pa.int32())
         yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in ("word", "original", "kind", "chains", "original_docs")} | {"belief": belief})
 
 
@@ -198,7 +286,8 @@ class Garbled:
         self.spoken = self.workspace.save(spoken, "garbled-words")
         vocabulary = self.workspace.save(self.spoken.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "garbled-vocabulary")
         forms = vocabulary.repartition(4 * documents.sparkSession.sparkContext.defaultParallelism).mapInArrow(_forms, "form string, original string, kind string, chains array<int>, original_docs long")
-        pairs = forms.join(vocabulary.withColumnRenamed("word", "form"), "form").withColumnRenamed("form", "word")
+        earlier = self.workspace.save(vocabulary.mapInArrow(_earlier, "form string, word string, docs long, undone boolean"), "garbled-earlier")
+        pairs = forms.join(earlier, "form").where("word <> original")
         judged = pairs.mapInArrow(_judged, "word string, original string, kind string, chains array<int>, original_docs long, belief int").where("belief > 0")
         judged = self.workspace.save(judged, "garbled-judged")
         sure = judged.where("belief = 3").select(F.col("word").alias("original")).distinct()

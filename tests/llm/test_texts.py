@@ -135,3 +135,27 @@ def test_doubtful_garbled_signs_need_a_second_word_of_their_chain(spark):
     docs = [(i, "at 4 Å ± 2 near") for i in range(100)] + [(200 + i, "at 4 ┼ ▒ 2 near") for i in range(15)] + [(300, "a ┼ b")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc for r in encoding.Garbled(frame, "doc_id", "text").documents().collect()} == set(range(200, 215))
+
+
+STEPS = [
+    [("cp1252", "mac-roman"), ("utf-8", "cp1252")],
+    [("cp1252", "cp850"), ("utf-8", "latin-1")],
+    [("utf-8", "gbk"), ("utf-8", "cp1252")],
+    [("utf-8", "cp850"), ("utf-8", "cp1250"), ("utf-8", "cp437"), ("utf-8", "latin-1")],
+]
+
+
+def test_garbled_more_than_once_in_any_encodings(spark):
+    docs = [(i, "Das ist größer und später, naïve Übung, вернуть ключ") for i in range(20)]
+    wrong = {}
+    for k, steps in enumerate([*STEPS, [("koi8-r", "cp1251"), ("utf-8", "cp1251")], [("utf-8", "koi8-r")] * 2]):
+        text = "вернуть ключ" if k >= len(STEPS) else "größer und später"
+        wrong[100 + k] = text
+        for source, target in steps:
+            text = text.encode(source).decode(target, "replace")
+        docs.append((100 + k, text))
+    docs += [(200, "Quelle\u00a0étape"), (201, "\u00a0Quelle\u00a0étape")]  # bytes that Mac Roman and UTF-8 share
+    found = encoding.Garbled(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc for r in found.documents().collect()} == set(wrong)
+    restored = {r.doc: r for r in found.restored().collect()}
+    assert all(restored[i].text == text or restored[i].unrestored for i, text in wrong.items())
