@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.workspace import Workspace
+from residua.llm.workspace import Workspace
 
 #: A label is hot with more than one edge in so many; there can be at most twice as many hot labels.
 HOT_SHARE = 2000

@@ -21,8 +21,12 @@ def representatives(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint() -> list:
-    """128 bits of ``text`` in two columns: equal texts without shuffling the texts."""
-    return [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    """128 bits of ``text`` in two columns: equal texts without shuffling the texts.
+
+    Spark seeds the hash of a column with that of the column before it, so a literal ahead of the
+    text gives a second hash of the text itself (a literal behind it would only hash the hash).
+    """
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
 
 
 def members(rows: DataFrame, reps: DataFrame) -> DataFrame:

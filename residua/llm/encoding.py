@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.workspace import Workspace
+from residua.llm.workspace import Workspace
 
 #: The encodings that text is written in, and those it is wrongly read in.
 UTF8_READ_AS = (

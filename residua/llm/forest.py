@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from residua.llm.blobs import by_bucket, cut, pack, small, unpack
 from residua.llm.copies import members, representatives
 from residua.llm.windows import five_codes, letters, mix, owners, pairs_of_runs, similarities, starts
-from residua.workspace import Workspace
+from residua.llm.workspace import Workspace
 
 #: Trees of the forest, and levels of a tree. A pair of similarity s shares the first two levels of
 #: one tree with chance s * s, so it is missed by all 32 with (1 - s * s) ** 32: 1e-4 at s = 0.5, 4e-8 at 0.65.

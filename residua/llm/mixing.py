@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.workspace import Workspace
+from residua.llm.workspace import Workspace
 
 #: Means tried per pass, and passes; the last grid is as fine as the first divided by GRID ** (PASSES - 1).
 GRID, PASSES = 48, 3

@@ -17,7 +17,7 @@ from residua.llm.leaks import leaks, without_leaks
 from residua.llm.mixing import Mixture
 from residua.llm.spans import shared_spans
 from residua.llm.topn import top_n
-from residua.workspace import Workspace
+from residua.llm.workspace import Workspace
 
 SEARCHES = {"mmseqs": ("mmseqs_hits", "bitscore"), "native": ("native_hits", "supportscore")}
 
@@ -42,9 +42,7 @@ def hits(spark: SparkSession, folder: str, search: str) -> DataFrame:
 
 
 #: The ledger is replayed in so many batches of about equal size, split between cycles.
-REPLAYS = 4
-#: Ledger rows per partition of the index: about 1.5 million postings of 14 bytes.
-ROWS_PER_BUCKET = 4000
+REPLAYS = 8
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +51,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         F.col("record_ordinal").alias("id"), F.col("seq_sha256").alias("digest"), clean_sequence(F.col("sequence")).alias("text"), F.col("first_seen_cycle").alias("cycle")
     )
     ends = sorted({int(x) for x in ledger.approxQuantile("cycle", [i / REPLAYS for i in range(1, REPLAYS)], 0.01)})
-    history, found = History(spark, buckets=max(16, -(-ledger.count() // ROWS_PER_BUCKET))), []
+    history, found = History(spark), []
     for low, high in zip([None, *ends], [*ends, None], strict=True):
         batch = ledger if low is None else ledger.where(F.col("cycle") > low)
         found.append(history.ingest(batch if high is None else batch.where(F.col("cycle") <= high)))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from residua.llm.blobs import by_bucket, pack, unpack
 from residua.llm.copies import members, representatives
 from residua.llm.windows import letters, owners, rolling
-from residua.workspace import Workspace
+from residua.llm.workspace import Workspace
 
 #: Letters of one block of records, and windows that a bucket holds at a time, about.
 BLOCK_LETTERS, BUCKET_WINDOWS = 1_000_000, 1_500_000

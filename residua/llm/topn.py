@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.workspace import Workspace
+from residua.llm.workspace import Workspace
 
 #: Bound of the list of heavy filled groups that is broadcast ahead of the shuffled anti-join.
 HEAVY = 1000

@@ -75,8 +75,35 @@ def rolling(points: np.ndarray, width: int, seed: int) -> np.ndarray:
     return total[: len(points) - width + 1]
 
 
+def _ascii_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct (text number << 35 | five letters of 7 bits), sorted, and how many each text has; None unless all letters are ASCII."""
+    joined = "".join(texts)
+    if not joined.isascii() or len(texts) >= 1 << 28:
+        return None
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner, place = owners(lengths, 5)
+    points = np.frombuffer(joined.encode("ascii"), np.uint8).astype(np.uint64)
+    if not len(place):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    code = points[:-4].copy()
+    for i in range(1, 5):
+        code = (code << np.uint64(7)) | points[i : len(points) - 4 + i]
+    key = np.sort((owner.astype(np.uint64) << np.uint64(35)) | code[place])
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    key = key[fresh]
+    return key, np.bincount((key >> np.uint64(35)).astype(np.int64), minlength=len(texts))
+
+
 def token_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct 5-letter windows: (text number, code) sorted by both, and how many each text has."""
+    fast = _ascii_keys(texts)
+    if fast is not None:
+        key, n = fast
+        code = np.zeros(len(key), np.uint64)
+        for i in range(5):  # as in five_codes
+            code |= ((key >> np.uint64(7 * i)) & np.uint64(127)) << np.uint64(12 * i)
+        return (key >> np.uint64(35)).astype(np.int64), code, n
     points, lengths = letters(texts)
     owner, place = owners(lengths, 5)
     code = five_codes(points)[place] if len(place) else np.zeros(0, np.uint64)
@@ -90,12 +117,19 @@ def token_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def similarities(left: list[str], right: list[str]) -> np.ndarray:
     """Jaccard similarity of the 5-letter windows of left[i] and right[i]; 0 where either has none."""
-    owner_l, code_l, n_l = token_sets(left)
-    owner_r, code_r, n_r = token_sets(right)
-    owner, code = np.concatenate([owner_l, owner_r]), np.concatenate([code_l, code_r])
-    order = np.lexsort((code, owner))
-    owner, code = owner[order], code[order]
-    both = owner[1:][(owner[1:] == owner[:-1]) & (code[1:] == code[:-1])]
+    fast_l, fast_r = _ascii_keys(left), _ascii_keys(right)
+    if fast_l is not None and fast_r is not None:
+        (key_l, n_l), (key_r, n_r) = fast_l, fast_r
+        key = np.concatenate([key_l, key_r])
+        key.sort()
+        both = (key[1:][key[1:] == key[:-1]] >> np.uint64(35)).astype(np.int64)
+    else:
+        owner_l, code_l, n_l = token_sets(left)
+        owner_r, code_r, n_r = token_sets(right)
+        owner, code = np.concatenate([owner_l, owner_r]), np.concatenate([code_l, code_r])
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        both = owner[1:][(owner[1:] == owner[:-1]) & (code[1:] == code[:-1])]
     shared = np.bincount(both, minlength=len(left))
     return shared / np.maximum(n_l + n_r - shared, 1)
 

@@ -225,7 +225,7 @@ def test_history_equals_brute_force(spark, monkeypatch, first_look):
     rng.shuffle(texts)
     rows = [(i, rng.choice([f"D{i}", f"d{i % 17}", None]) if i % 3 == 0 else f"x{i}", t, rng.choice([None, *range(1, 9)])) for i, t in enumerate(texts)]
     frame = spark.createDataFrame([(*r, 1, "q") for r in rows], "id long, digest string, text string, cycle int, rep int, bucket string").repartition(3)
-    book, got = history.History(spark, buckets=8), []
+    book, got = history.History(spark, rows_per_slot=5), []
     got += [r.id for r in book.ingest(frame.limit(0)).collect()]
     for low, high in ((0, 3), (3, 6), (6, 9)):
         part = frame.where((F.col("cycle") > low) & (F.col("cycle") <= high))
