@@ -97,7 +97,8 @@ def regroup(packed: DataFrame, parts: int, again: Callable, schema: str, key: st
 def as_batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     rows = list(rows)
     if rows:
-        yield pa.RecordBatch.from_pylist(rows)
+        kinds = pa.schema([(name, pa.binary() if name == "blob" else pa.int64()) for name in rows[0]])
+        yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
 def settled(packed: DataFrame, per: int, parts: int) -> DataFrame:

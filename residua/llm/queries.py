@@ -11,7 +11,7 @@ from residua.functions.residues import accession, clean_sequence
 from residua.llm.components import connected_groups
 from residua.llm.copies import texts
 from residua.llm.encoding import Garbled
-from residua.llm.forest import similar_pairs
+from residua.llm.forest import similar_groups, similar_pairs
 from residua.llm.history import History
 from residua.llm.leaks import leaks, without_leaks
 from residua.llm.mixing import Mixture
@@ -102,6 +102,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("a").alias("record_ordinal_a"), F.col("b").alias("record_ordinal_b"))
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of processed and proteins with its exact copies, its links to other texts and the group they form."""
+    found = similar_groups(sequences(spark, folder, ["processed", "proteins"], 5), 0.5)
+    return found.select(F.col("id").alias("record_ordinal"), F.col("rep").alias("representative"), "copies", "links", F.col("group").alias("group_ordinal"))
+
+
 def _documents_and_items(spark: SparkSession, folder: str) -> tuple:
     return read(spark, folder, "documents"), "doc_id", "text", read(spark, folder, "eval_items"), "item_id", "text"
 
@@ -148,6 +154,6 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found,
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found, "p5_groups": p5_groups,
         "p6_found": p6_found, "p6_removed": p6_removed, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_restored": p8_restored}

@@ -9,6 +9,8 @@ runs of windows that another record has too are the maximal exact repeats.
 No pair of records is ever formed. Records travel in fixed blocks of some thousand; a
 block sends each distinct window once, so a window that a third of all records share costs
 its bucket no more than one entry per block of records, and the answer goes back to blocks.
+With more than RANGES buckets, windows and answers travel in two steps (see blobs), so that
+a row holds hundreds of entries however many blocks and buckets there are.
 """
 
 from __future__ import annotations
@@ -21,26 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.blobs import by_bucket, pack, unpack
+from residua.llm.blobs import RANGES, by_bucket, cut, joined, pack, parted, regroup, unpack, width
 from residua.llm.copies import members, representatives
-from residua.llm.windows import letters, owners, rolling
+from residua.llm.windows import letters, mix, owners, rolling
 from residua.llm.workspace import Workspace
 
 #: Letters of one block of records, and windows that a bucket holds at a time, about.
 BLOCK_LETTERS, BUCKET_WINDOWS = 1_000_000, 1_500_000
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _number(room_of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the number of its block to each record; written once, so it never changes."""
     from pyspark import TaskContext
 
-    block, room = TaskContext.get().partitionId() << 32, BLOCK_LETTERS
+    block, room = TaskContext.get().partitionId() << 32, room_of
     for batch in batches:
         lengths = np.array([len(t) for t in batch.column("text").to_pylist()], np.int64)
         numbers = np.zeros(len(lengths), np.int64)
         for i, n in enumerate(lengths):
-            if room < n and room < BLOCK_LETTERS:
-                block, room = block + 1, BLOCK_LETTERS
+            if room < n and room < room_of:
+                block, room = block + 1, room_of
             numbers[i] = block
             room -= n
         yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("rep", "text", "n")} | {"block": numbers})
@@ -55,15 +57,27 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[edge], o[edge] != o[last] if len(h) else np.zeros(0, bool)
 
 
-def _rows(block: int, buckets: int, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[dict]:
-    """Entries of a block by bucket; ``keys`` are 64-bit hashes."""
+def _rows(block: int, buckets: int, per: int, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[dict]:
+    """Entries of a block by range of ``per`` buckets; ``keys`` are 64-bit hashes. Behind the columns: the sender and its number of entries."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        part = order[edges[b] : edges[b + 1]]
-        if len(part):
-            yield {"bucket": b, "block": block, "blob": pack([c[part] for c in columns])}
+    if per > 1:
+        columns = [(bucket % per).astype(np.uint32), *columns]
+    for key, part in parted(bucket // per, columns):
+        yield {"bucket": key, "block": block, "blob": pack([*part, np.array([block]), np.array([len(part[0])])])}
+
+
+def _finer(per: int, now: int, columns: list[np.ndarray]) -> Iterator[dict]:
+    """Entries of a range by bucket, as ``_rows`` has them."""
+    within, *rest, blocks, counts = columns
+    for bucket, part in parted(now * per + within.astype(np.int64), [*rest, np.repeat(blocks, counts)]):
+        sender = part[-1]
+        edge = np.flatnonzero(np.concatenate([[True], sender[1:] != sender[:-1]]))
+        yield {"bucket": bucket, "block": -1, "blob": pack([*part[:-1], sender[edge], np.diff(np.concatenate([edge, [len(sender)]]))])}
+
+
+def _per_block(_range: int, columns: list[np.ndarray]) -> Iterator[dict]:
+    for block, (codes,) in parted(columns[1], [columns[0]]):
+        yield {"bucket": 0, "block": block, "blob": pack([codes])}
 
 
 _SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
@@ -76,7 +90,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield int(number), batch.filter(pa.array(numbers == number))
 
 
-def _anchors(span: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(span: int, buckets: int, per: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of records and bucket: distinct rolling windows, which of them repeat inside, which are indexed blocks."""
     half = span // 2
     for batch in batches:
@@ -89,16 +103,13 @@ def _anchors(span: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iter
             distinct, several = _distinct(hashes, owner)
             flags = several.astype(np.uint8) | (np.isin(distinct, fixed, assume_unique=True).astype(np.uint8) << 1)
             short = (distinct >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_pylist(list(_rows(block, buckets, distinct, [short, flags])), _SENT)
+            yield pa.RecordBatch.from_pylist(list(_rows(block, buckets, per, distinct, [short, flags])), _SENT)
 
 
-def _meet(indexed: bool, bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+def _meet(indexed: bool, wide: bool, bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """Windows that more than one record has (and, of anchors, that some record has as a block), per block that sent them."""
-    parts = [unpack(r["blob"]) for r in rows]
-    names = parts[0][:-1]
-    keys = [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
-    flags = np.concatenate([p[-1] for p in parts])
-    sender = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    *keys, flags, blocks, counts = joined([r["blob"] for r in rows])
+    sender = np.repeat(blocks, counts)
     order = np.lexsort((sender, *keys[::-1]))
     keys, flags, sender = [k[order] for k in keys], flags[order], sender[order]
     new = np.zeros(len(flags), bool)
@@ -110,9 +121,15 @@ def _meet(indexed: bool, bucket: int, rows: list[dict]) -> Iterator[pa.RecordBat
     if indexed:
         shared &= np.bincount(group, weights=flags & 2) > 0
     hit = np.flatnonzero(shared[group])
-    for i in np.unique(sender[hit]):
-        mine = hit[sender[hit] == i]
-        yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": rows[i]["block"], "blob": pack([keys[-1][mine]])}], _SENT)
+    codes, sender = keys[-1][hit], sender[hit]
+    if wide:  # whole codes by range of blocks, cut by block in a second step
+        codes = codes.astype(np.uint64) | (np.uint64(bucket) << np.uint64(32)) if codes.dtype == np.uint32 else codes
+        ranges = (mix(sender.astype(np.uint64)) % np.uint64(RANGES)).astype(np.int64)
+        found = [{"bucket": r, "block": -1, "blob": blob} for r, blob in cut(ranges, [codes, sender])]
+    else:
+        found = [{"bucket": bucket, "block": block, "blob": pack(part)} for block, part in parted(sender, [codes])]
+    if found:
+        yield pa.RecordBatch.from_pylist(found, _SENT)
 
 
 def _answers(answers: pa.Table) -> np.ndarray:
@@ -151,7 +168,7 @@ def _near_anchors(span: int, buckets: int, part: pa.Table, answered: np.ndarray)
     return owner, place, rolling(points, span, 2)[place], rolling(points, span, 3)[place], lengths
 
 
-def _extend(span: int, buckets: int, _key, part: pa.Table, answers: pa.Table) -> pa.Table:
+def _extend(span: int, buckets: int, per: int, _key, part: pa.Table, answers: pa.Table) -> pa.Table:
     """All windows around the hits of a block, each distinct one once, by bucket."""
     block = part.column("block")[0].as_py() if part.num_rows else None
     if block is None or not answers.num_rows:
@@ -166,7 +183,7 @@ def _extend(span: int, buckets: int, _key, part: pa.Table, answers: pa.Table) ->
     flags = (owner[edge] != owner[last]).astype(np.uint8) if len(edge) else np.zeros(0, np.uint8)
     one, two = one[edge], two[edge]
     # 32 bits of the first hash and 64 of the second, besides the bucket: about 100 bits decide equality.
-    rows = list(_rows(block, buckets, one, [(one >> np.uint64(32)).astype(np.uint32), two, flags]))
+    rows = list(_rows(block, buckets, per, one, [(one >> np.uint64(32)).astype(np.uint32), two, flags]))
     return pa.Table.from_pylist(rows, _SENT)
 
 
@@ -195,7 +212,15 @@ def _runs(span: int, buckets: int, _key, part: pa.Table, both: pa.Table) -> pa.T
     return pa.table({"rep": columns[0].astype(np.int64), "span_start": columns[1].astype(np.int64), "span_end": columns[2].astype(np.int64)})
 
 
-def shared_spans(rows: DataFrame, span: int = 40, *, workspace: Workspace | None = None) -> DataFrame:
+def _exchange(sent: DataFrame, indexed: bool, per: int, parts: int) -> DataFrame:
+    """The answers of all buckets, by block."""
+    if per > 1:
+        sent = regroup(sent, parts, partial(_finer, per), _SENT_SQL)
+    answers = by_bucket(sent, parts, partial(_meet, indexed, per > 1), _SENT_SQL)
+    return regroup(answers, parts, _per_block, _SENT_SQL) if per > 1 else answers
+
+
+def shared_spans(rows: DataFrame, span: int = 40, *, buckets: int | None = None, block_letters: int = BLOCK_LETTERS, workspace: Workspace | None = None) -> DataFrame:
     """Maximal runs of positions of each record that lie in a window of ``span`` letters another record has too.
 
     ``rows`` has ``id`` (unique) and ``text``. Result: ``id``, ``span_start``, ``span_end`` (1-based, inclusive).
@@ -209,15 +234,17 @@ def shared_spans(rows: DataFrame, span: int = 40, *, workspace: Workspace | None
     workspace = workspace or Workspace(spark)
     rows = rows.where(F.length("text") >= span)
     reps = representatives(rows).select("rep", "text", "n")
-    blocks = workspace.save(reps.mapInArrow(_number, "rep long, text string, n long, block long"), "span-blocks")
+    blocks = workspace.save(reps.mapInArrow(partial(_number, block_letters), "rep long, text string, n long, block long"), "span-blocks")
     letters_all = blocks.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    buckets = max(32, -(-letters_all // BUCKET_WINDOWS))
-    parts = max(spark.sparkContext.defaultParallelism, buckets // 2)
+    full = max(32, -(-letters_all // BUCKET_WINDOWS))
+    parts = min(4 * RANGES, max(spark.sparkContext.defaultParallelism, full // 2))
+    buckets = buckets or full
+    per = width(buckets)
     by_block = blocks.groupBy("block")
-    sent = blocks.mapInArrow(partial(_anchors, span, buckets), _SENT_SQL)
-    anchors = workspace.save(by_bucket(sent, parts, partial(_meet, True), _SENT_SQL), "span-anchors")
-    around = by_block.cogroup(anchors.groupBy("block")).applyInArrow(partial(_extend, span, buckets), _SENT_SQL)
-    windows = workspace.save(by_bucket(around, parts, partial(_meet, False), _SENT_SQL), "span-windows")
+    sent = blocks.mapInArrow(partial(_anchors, span, buckets, per), _SENT_SQL)
+    anchors = workspace.save(_exchange(sent, True, per, parts), "span-anchors")
+    around = by_block.cogroup(anchors.groupBy("block")).applyInArrow(partial(_extend, span, buckets, per), _SENT_SQL)
+    windows = workspace.save(_exchange(around, False, per, parts), "span-windows")
     both = anchors.withColumn("kind", F.lit(1)).unionAll(windows.withColumn("kind", F.lit(2)))
     runs = by_block.cogroup(both.groupBy("block")).applyInArrow(partial(_runs, span, buckets), "rep long, span_start long, span_end long")
     runs = workspace.save(runs, "span-runs")

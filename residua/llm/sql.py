@@ -90,6 +90,24 @@ placed AS (SELECT id, t FROM seqs JOIN texts USING (s))
 SELECT x.id AS record_ordinal_a, y.id AS record_ordinal_b
 FROM placed x JOIN near ON x.t = near.a JOIN placed y ON y.t = near.b WHERE x.id < y.id"""
 
+P5_GROUPS = f"""
+WITH RECURSIVE seqs AS (SELECT record_ordinal AS id, {_CLEAN} AS s FROM processed
+              UNION ALL SELECT record_ordinal, {_CLEAN} FROM proteins),
+{_windows("seqs")},
+placed AS (SELECT id, t FROM seqs JOIN texts USING (s)),
+named AS (SELECT t, min(id) AS rep, count(*) AS copies FROM placed GROUP BY t),
+edges AS (SELECT x.rep AS a, y.rep AS b FROM near JOIN named x ON x.t = near.a JOIN named y ON y.t = near.b),
+reached(a, low) USING KEY (a) AS (
+  SELECT a, least(a, min(b)) FROM edges GROUP BY a
+  UNION
+  SELECT e.a, min(r.low) FROM edges e JOIN reached r ON e.b = r.a
+  JOIN recurring.reached own ON own.a = e.a
+  GROUP BY e.a, own.low HAVING min(r.low) < own.low
+)
+SELECT p.id AS record_ordinal, n.rep AS representative, n.copies,
+       (SELECT count(*) FROM edges WHERE edges.a = n.rep AND edges.b <> n.rep) AS links, r.low AS group_ordinal
+FROM placed p JOIN named n USING (t) JOIN reached r ON r.a = n.rep"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_share": P4_SHARE, "p5_found": P5}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_share": P4_SHARE, "p5_found": P5, "p5_groups": P5_GROUPS}

@@ -140,6 +140,14 @@ def test_components_with_hot_labels(spark, monkeypatch):
     assert got == brute_groups(links)
 
 
+def test_the_second_hash_is_no_function_of_the_first(spark):
+    from residua.llm.copies import fingerprint
+
+    frame = spark.range(50).select(F.concat(F.lit("MKV"), F.col("id")).alias("text")).select("text", *fingerprint())
+    chained = frame.select("h2", F.xxhash64("text", F.lit(1)).alias("c")).collect()
+    assert all(r.h2 != r.c for r in chained) and frame.select("h1", "h2").distinct().count() == 50
+
+
 def brute_pairs(rows):
     return {(min(i, j), max(i, j)) for i, a in rows for j, b in rows if i != j and a is not None and b is not None and similarity(a, b) >= 0.5}
 
@@ -150,6 +158,38 @@ def test_forest_pairs(spark):
     got = [(r.a, r.b) for r in forest.similar_pairs(frame, 0.5).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
     assert forest.similar_pairs(frame.limit(0), 0.5).count() == 0
+    texts, pairs = dict(rows), brute_pairs(rows)
+    alone = [i for i, t in rows if t is not None and len(t) >= 5]
+    groups = brute_groups([*pairs, *[(i, i) for i in alone]])
+    same = {i: [j for j in alone if texts[j] == texts[i]] for i in alone}
+    near = {i: {texts[j] for j in alone if (min(i, j), max(i, j)) in pairs} - {texts[i]} for i in alone}
+    want = {(i, min(same[i]), len(same[i]), len(near[i]), groups[i]) for i in alone}
+    assert {tuple(r) for r in forest.similar_groups(frame, 0.5).collect()} == want
+    assert forest.similar_groups(frame.limit(0), 0.5).count() == 0
+
+
+def test_forest_recall_where_every_region_is_divided(spark):
+    rng = random.Random(19)
+    roots = [protein(rng, 150) for _ in range(300)]
+    texts = [*roots, *[edited(rng, t, 9) for t in roots]]
+    near = windows.similarities(roots, texts[300:])
+    frame = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    got = {(r.a, r.b) for r in forest.similar_representatives(frame, 0.5, region=1).collect()}
+    want = {(i, i + 300) for i in np.flatnonzero(near >= 0.5).tolist()}
+    assert len(want) > 150 and len(want & got) >= 0.95 * len(want) and near[near >= 0.5].mean() < 0.75
+
+
+@pytest.mark.parametrize("slices", [1, 100_000])
+def test_forest_slices_do_not_thin_the_rows(spark, slices):
+    rng = random.Random(20)
+    rows = [(i, protein(rng, 30)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "rep long, text string").repartition(2)
+    per = min(blobs.width(slices * forest.TREES), slices)
+    planted = list(forest._plant(range(forest.TREES), slices, per, iter([b for b in frame.toArrow().to_batches()])))
+    assert sum(b.num_rows for b in planted) <= forest.TREES + blobs.RANGES
+    some = frame.limit(400).unionAll(frame.limit(200).selectExpr("rep + 10000", "concat(text, 'A')"))
+    few = {tuple(r) for r in forest.similar_representatives(some.coalesce(1), 0.5, slices=slices).select("a", "b").collect()}
+    assert few == brute_pairs([tuple(r) for r in some.collect()])
 
 
 def test_forest_recall_against_brute_force():
@@ -162,15 +202,15 @@ def test_forest_recall_against_brute_force():
     assert (near >= 0.5).sum() > 100 and met[near >= 0.5].mean() > 0.99
 
 
-def test_forest_regions(monkeypatch):
-    monkeypatch.setattr(forest, "REGION", 3)
+def test_forest_regions():
     def sign(*levels):
         return sum(v << 16 * (3 - i) for i, v in enumerate(levels))
 
     dense = [sign(1, 1, 1, 1)] * 9 + [sign(1, 1, 2, 1)]
     thin = [sign(2, 2, i, 0) for i in range(9)] + [sign(2, 2, 8, 1)]
     signs = np.sort(np.array([*dense, *thin, sign(3, 3, 0, 0), sign(3, 3, 5, 0)], np.uint64))
-    first, size = forest.regions(signs)
+    first, size, divided = forest.regions(signs, 3)
+    assert divided.tolist() == list(range(10, 20))
     assert sorted(zip(first.tolist(), size.tolist(), strict=True)) == [(0, 10), (18, 2), (20, 2)]
 
 
@@ -198,17 +238,16 @@ def brute_spans(rows, span):
     return out
 
 
-@pytest.mark.parametrize("block", [10**6, 500])
+@pytest.mark.parametrize(("block", "buckets"), [(10**6, None), (500, None), (500, 100_000), (10**6, 100_000)])
 @pytest.mark.parametrize("span", [40, 10])
-def test_shared_spans(spark, monkeypatch, block, span):
-    monkeypatch.setattr(spans, "BLOCK_LETTERS", block)
+def test_shared_spans(spark, block, buckets, span):
     rng = random.Random(4)
     shared = [protein(rng, n) for n in (9, 39, 40, 41, 80)]
     texts = [protein(rng, rng.randrange(0, 120)) + rng.choice(shared) + protein(rng, rng.randrange(0, 90)) + rng.choice(shared) for _ in range(30)]
     texts += [texts[0], texts[0], "QN" * 200, "QN" * 30, "A" * 300, "", None, "語é" * 60, "x" + "語é" * 60, protein(rng, 60) * 2]
     rows = list(enumerate(texts))
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "id long, text string, rep int, block int")
-    got = {tuple(r) for r in spans.shared_spans(frame, span).collect()}
+    got = {tuple(r) for r in spans.shared_spans(frame, span, buckets=buckets, block_letters=block).collect()}
     assert got == brute_spans(rows, span)
     assert spans.shared_spans(frame.limit(0), span).count() == 0
 
