@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from residua.llm.workspace import Workspace
 
-#: A label is hot with more than one edge in so many; there can be at most twice as many hot labels.
-HOT_SHARE = 2000
+#: A key is hot with more than one row in so many (and more than LEAST); there can be at most twice as many hot keys.
+HOT_SHARE, LEAST = 2000, 1000
 SALTS = 32
 
 
-def _relabel(edges: DataFrame, side: str, labels: DataFrame, hot: DataFrame) -> DataFrame:
-    """Replace ``side`` of each edge by its label; rows of hot labels are spread over salts."""
-    other = "v" if side == "u" else "u"
-    hot_side = hot.select(F.col("c").alias(side), F.lit(True).alias("_hot"))
-    salted = edges.join(F.broadcast(hot_side), side, "left").withColumn(
+def _hot(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Keys that hold more than one in HOT_SHARE of about ``n`` rows; counted on the map side first, so no task sees all rows of one."""
+    counts = rows.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.where(F.col("rows") > max(LEAST, n // HOT_SHARE)).select("k")
+
+
+def _look_up(rows: DataFrame, key: str, other: str, table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with ``value`` of their ``key`` in ``table`` (k, value); rows of hot keys are spread over salts by ``other``, and their one entry is repeated per salt."""
+    known = F.broadcast(hot.select("k", F.lit(True).alias("_hot")))
+    salted = rows.withColumnRenamed(key, "k").join(known, "k", "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     )
-    spread = labels.join(F.broadcast(hot), "c", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    plain = labels.join(F.broadcast(hot), "c", "left_anti").withColumn("_salt", F.lit(0))
-    table = plain.unionByName(spread).select(F.col("c").alias(side), "_salt", "root")
-    return salted.join(table, [side, "_salt"]).select(F.col("root").alias(side), other)
+    spread = table.join(known, "k", "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    )
+    return salted.drop("_hot").join(spread.drop("_hot"), ["k", "_salt"], how).drop("_salt").withColumnRenamed("k", key)
 
 
 def connected_groups(links: DataFrame, left: str, right: str, *, workspace: Workspace | None = None) -> DataFrame:
@@ -45,33 +50,38 @@ def connected_groups(links: DataFrame, left: str, right: str, *, workspace: Work
     vertices = edges.select(F.col("u").alias("c")).unionAll(edges.select("v")).distinct()
     groups = workspace.save(vertices.select(F.col("c").alias("record"), F.col("c").alias("label")), "groups-0")
     edges = edges.where("u <> v")
-    n_edges, turn = edges.count(), 0
+    n_edges, n_records, turn = edges.count(), groups.count(), 0
     while n_edges:
         turn += 1
         ends = edges.select(F.col("u").alias("c"), F.col("v").alias("d")).unionAll(edges.select("v", "u"))
         hooks = workspace.save(ends.groupBy("c").agg(F.min("d").alias("p"), F.count(F.lit(1)).alias("degree")), f"hooks-{turn}")
-        hot = hooks.where(F.col("degree") > max(1000, n_edges // HOT_SHARE)).select("c")
-        back = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        parents = hooks.join(back, "p").select(
+        crowded = hooks.where(F.col("degree") > max(LEAST, n_edges // HOT_SHARE)).select(F.col("c").alias("k"))
+        # Who hooks onto a vertex has an edge to it, so a vertex with many hooks has a high degree.
+        back = _look_up(hooks.select("c", "p"), "p", "c", hooks.select(F.col("c").alias("k"), F.col("p").alias("pp")), crowded)
+        parents = back.select(
             "c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")
         )
         parents, step, moving = workspace.save(parents, f"parents-{turn}-0"), 0, 1
         while moving:
             step += 1
-            up = parents.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            jumped = parents.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved"))
+            up = parents.select(F.col("c").alias("k"), F.col("p").alias("pp"))
+            jumped = _look_up(parents, "p", "c", up, _hot(parents, "p", n_edges)).select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved"))
             jumped = workspace.save(jumped, f"parents-{turn}-{step}")
             moving = jumped.where("moved").count()
             parents = jumped.select("c", "p")
             workspace.drop(f"parents-{turn}-{step - 1}")
-        smallest = parents.groupBy("p").agg(F.min("c").alias("root"))
-        labels = workspace.save(parents.join(smallest, "p").select("c", "root"), f"labels-{turn}")
-        renamed = groups.join(labels.withColumnRenamed("c", "label"), "label", "left")
-        groups = workspace.save(renamed.select("record", F.coalesce("root", "label").alias("label")), f"groups-{turn}")
-        moved = _relabel(_relabel(edges, "u", labels, hot), "v", labels, hot).where("u <> v")
+        # All of a tree now point to its root, which need not be the smallest of them.
+        smallest = parents.groupBy(F.col("p").alias("k")).agg(F.min("c").alias("root"))
+        labels = _look_up(parents, "p", "c", smallest, _hot(parents, "p", n_edges)).select("c", "root")
+        labels = workspace.save(labels, f"labels-{turn}")
+        table = labels.withColumnRenamed("c", "k")
+        moved = _look_up(edges, "u", "v", table, crowded).select(F.col("root").alias("u"), "v")
+        moved = _look_up(moved, "v", "u", table, crowded).select("u", F.col("root").alias("v")).where("u <> v")
         moved = moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         edges = workspace.save(moved, f"edges-{turn}")
+        # Records of components without edges keep their label, which is in no table.
+        renamed = _look_up(groups, "label", "record", table, _hot(groups, "label", n_records), "left")
+        groups = workspace.save(renamed.select("record", F.coalesce("root", "label").alias("label")), f"groups-{turn}")
         n_edges = edges.count()
-        for name in (f"groups-{turn - 1}", f"edges-{turn - 1}", f"hooks-{turn}", f"labels-{turn}", f"parents-{turn}-{step}"):
-            workspace.drop(name)
+        workspace.drop(f"groups-{turn - 1}", f"edges-{turn - 1}", f"hooks-{turn}", f"labels-{turn}", f"parents-{turn}-{step}")
     return groups.select("record", F.col("label").alias("group"))
