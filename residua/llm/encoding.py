@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,9 @@ MOST_SIGNS = 0.2
 LONG = 4
 #: Garbled words up to which their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_FORMS = 200_000
+#: Bits of the filter that holds the corpus words, by which forms are dropped before they leave their task: 16 a word, but
+#: never more than 2 ** MOST_BITS (16 MB), beyond which it lets more forms pass but still loses none; and bytes of one piece of it.
+BITS_PER_WORD, LEAST_BITS, MOST_BITS, PIECE = 16, 16, 27, 8192
 #: A run of letters, digits and signs beyond ASCII, with at least one of the latter.
 WORD = r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}])[0-9A-Za-z]*+[\x{80}-\x{10FFFF}][0-9A-Za-z\x{80}-\x{10FFFF}]*+"
 _WORD = regex.compile(WORD.replace("x{80}", "u0080").replace("x{10FFFF}", "U0010ffff"))
@@ -219,7 +224,44 @@ def undone(word: str) -> set[str]:
     return found
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a bit filter with any of the hashes of a partition."""
+    held = np.zeros(1 << bits, bool)
+    for batch in batches:
+        hashes = batch.column("h").to_numpy(zero_copy_only=False).astype(np.uint64)
+        for shift in (0, 32):
+            held[((hashes >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    packed = np.packbits(held, bitorder="little").reshape(-1, min(PIECE, (1 << bits) // 8))
+    some = np.flatnonzero(packed.any(axis=1))
+    for at in range(0, len(some), 256):
+        rows = [(int(i), packed[i].tobytes()) for i in some[at : at + 256]]
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _united(table: pa.Table) -> pa.Table:
+    rows = [np.frombuffer(b, np.uint8) for b in table.column("blob").to_pylist()]
+    return pa.table({"piece": table.column("piece").slice(0, 1).cast(pa.int32()), "blob": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+
+def word_filter(words: DataFrame, column: str, n: int) -> np.ndarray:
+    """Bits set at two places of the hash of every word; a power of two of them, 16 MB at most."""
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(BITS_PER_WORD * max(1, n))))))
+    marks = words.select(F.xxhash64(column).alias("h")).mapInArrow(partial(_marked, bits), "piece int, blob binary")
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for row in marks.groupBy("piece").applyInArrow(_united, "piece int, blob binary").toLocalIterator():
+        part = np.frombuffer(row.blob, np.uint8)
+        whole[row.piece * len(part) : (row.piece + 1) * len(part)] = part
+    return whole
+
+
+def passes(whole: np.ndarray, word: str) -> bool:
+    """False only if ``word`` is none of the words of the filter."""
+    h, last = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42), len(whole) * 8 - 1  # as Spark hashes it
+    return all(whole[at >> 3] >> (at & 7) & 1 for at in (h & last, (h >> 32) & last))
+
+
+def _forms(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = shared.value
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
@@ -227,6 +269,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (form, word, kind, sorted(numbers), count)
                 for word, count in zip(part.column("word").to_pylist(), part.column("docs").to_pylist(), strict=True)
                 for form, (kind, numbers) in [(word, ("", ())), *chains(word).items()]
+                if passes(whole, form)
             ]
             columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             names = (("form", pa.string()), ("original", pa.string()), ("kind", pa.string()), ("chains", pa.list_(pa.int32())), ("original_docs", pa.int64()))
@@ -285,8 +328,11 @@ class Garbled:
         spoken = beyond.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
         self.spoken = self.workspace.save(spoken, "garbled-words")
         vocabulary = self.workspace.save(self.spoken.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "garbled-vocabulary")
-        forms = vocabulary.repartition(4 * documents.sparkSession.sparkContext.defaultParallelism).mapInArrow(_forms, "form string, original string, kind string, chains array<int>, original_docs long")
         earlier = self.workspace.save(vocabulary.mapInArrow(_earlier, "form string, word string, docs long, undone boolean"), "garbled-earlier")
+        spark = documents.sparkSession
+        shared = spark.sparkContext.broadcast(word_filter(earlier, "form", earlier.count()))
+        spread = vocabulary.repartition(4 * spark.sparkContext.defaultParallelism)
+        forms = spread.mapInArrow(partial(_forms, shared), "form string, original string, kind string, chains array<int>, original_docs long")
         pairs = forms.join(earlier, "form").where("word <> original")
         judged = pairs.mapInArrow(_judged, "word string, original string, kind string, chains array<int>, original_docs long, belief int").where("belief > 0")
         judged = self.workspace.save(judged, "garbled-judged")

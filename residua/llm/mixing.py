@@ -9,6 +9,7 @@ shuffle of records, what every mean of a grid would draw.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from residua.llm.workspace import Workspace
 
-#: Means tried per pass, and passes; the last grid is as fine as the first divided by GRID ** (PASSES - 1).
-GRID, PASSES = 48, 3
+#: Means tried per pass, and passes. The first grid is geometric down to LEAST of the highest mean, so that the later ones,
+#: even inside one of its steps, leave a relative step of (LEAST ** (-1 / 47) - 1) / 47 ** 2 = 2e-4 of the mean.
+GRID, PASSES, LEAST = 48, 3, 1e-7
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,9 +59,17 @@ def uniform(ident: Column, plan: Column) -> Column:
 
 
 def draws(u: np.ndarray, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Inverse of the Poisson distribution of ``mean`` at ``u``, at most ``most``; all three of one shape."""
-    count = np.zeros(len(u), np.int64)
+    """Inverse of the Poisson distribution of ``mean`` at ``u``, at most ``most``; all three of one shape.
+
+    Large means start where all before adds up to less than 1e-30, as exp(-mean) has no double beyond 745.
+    """
+    mean = mean.astype(float)
+    first = np.maximum(0.0, np.floor(mean - 12 * np.sqrt(mean))) * (mean > 500)
+    count = first.astype(np.int64)
     term = np.exp(-mean)
+    for value in np.unique(mean[first > 0]):
+        k = float(np.floor(value - 12 * np.sqrt(value)))
+        term[mean == value] = math.exp(k * math.log(value) - value - math.lgamma(k + 1))
     total = term.copy()
     going = (u > total) & (count < most)
     while going.any():
@@ -68,7 +78,7 @@ def draws(u: np.ndarray, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
             term = np.where(going, term * mean / np.maximum(count, 1), term)
         total = np.where(going, total + term, total)
         going &= (u > total) & (count < most)
-    return count
+    return np.minimum(count, most)
 
 
 def _grid_sums(grids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +138,15 @@ class Mixture:
         for t, size in zip(self.targets, self.available, strict=True):
             totals[t.plan_id] = totals.get(t.plan_id, 0) + size
         self.wanted = [t.target_share * totals[t.plan_id] for t in self.targets]
-        # At a mean of 60 above the cap every record is drawn as often as the cap allows, whatever its number.
+        # At 60 and twelve deviations above the cap every record is drawn as often as the cap allows, whatever its number.
         low = [0.0] * len(self.targets)
-        high = [float(t.max_repeats + 60) if size else 0.0 for t, size in zip(self.targets, self.available, strict=True)]
+        high = [float(t.max_repeats + 60 + 12 * math.sqrt(t.max_repeats)) if size else 0.0 for t, size in zip(self.targets, self.available, strict=True)]
         sure = [size * t.max_repeats <= want for t, size, want in zip(self.targets, self.available, self.wanted, strict=True)]
         best = [(abs(want), 0.0) for want in self.wanted]
         rows = self._rows()
-        for _ in range(PASSES):
-            open_slots = {i: (np.linspace(low[i], high[i], GRID), t.max_repeats) for i, t in enumerate(self.targets) if not sure[i] and high[i] > low[i]}
+        for turn in range(PASSES):
+            grid = np.linspace if turn else lambda _, top, n: np.concatenate([[0.0], np.geomspace(LEAST * top, top, n - 1)])
+            open_slots = {i: (grid(low[i], high[i], GRID), t.max_repeats) for i, t in enumerate(self.targets) if not sure[i] and high[i] > low[i]}
             if not open_slots:
                 break
             shared = self.spark.sparkContext.broadcast(open_slots)

@@ -28,9 +28,8 @@ def brute_leaks(docs, items, width):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
-def test_leaks(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(leaks, "BROADCAST_WORDS", broadcast)
+@pytest.mark.parametrize("block", [500_000, 7])
+def test_leaks(spark, block):
     rng = random.Random(1)
     vocabulary = [f"w{i}é" for i in range(30)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(6)] + [(6, None), (7, ""), (8, "too short")]
@@ -39,18 +38,19 @@ def test_leaks(spark, monkeypatch, broadcast):
     docs += [(200, "x " + items[1][1].upper().replace(" ", " -- ")), (201, items[2][1].replace("é", "é").replace("w", "w​")), (202, None), (203, ""), (204, "W" * 100_000 + " " + items[3][1])]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item int")
     q = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc int")
-    got = [tuple(r) for r in leaks.leaks(d, "doc_id", "text", q, "item_id", "text").collect()]
+    got = [tuple(r) for r in leaks.leaks(d, "doc_id", "text", q, "item_id", "text", block=block).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_leaks(docs, items, 12)
     assert {(200, 1), (201, 2), (204, 3)} <= set(got)
     assert leaks.leaks(d.limit(0), "doc_id", "text", q, "item_id", "text").count() == 0
     assert leaks.leaks(d, "doc_id", "text", q.limit(0), "item_id", "text").count() == 0
 
 
-def test_leaks_are_cut_out(spark):
+@pytest.mark.parametrize("block", [500_000, 2])
+def test_leaks_are_cut_out(spark, block):
     item = " ".join(f"word{i}" for i in range(15))
     docs = spark.createDataFrame([(1, f"Before it. {item}! After."), (2, "nothing here"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
-    assert [(r.doc, r.text.split()) for r in leaks.without_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()] == [(1, ["Before", "it.", "After."])]
+    assert [(r.doc, r.text.split()) for r in leaks.without_leaks(docs, "doc_id", "text", items, "item_id", "text", block=block).collect()] == [(1, ["Before", "it.", "After."])]
 
 
 def test_poisson_inverse():
@@ -63,6 +63,26 @@ def test_poisson_inverse():
     assert mixing.draws(u, np.zeros(len(u)), np.full(len(u), 3)).max() == 0
 
 
+def test_poisson_inverse_of_large_means():
+    u = np.random.default_rng(1).random(50_000)
+    for mean in (499.0, 501.0, 800.0, 5000.0):
+        count = mixing.draws(u, np.full(len(u), mean), np.full(len(u), 10**6))
+        assert abs(count.mean() - mean) < 0.02 * np.sqrt(mean) and abs(count.var() / mean - 1) < 0.03
+    near = [mixing.draws(u, np.full(len(u), m), np.full(len(u), 10**6)) for m in (500.0, 500.0001)]
+    assert (near[1] - near[0] >= 0).all() and (near[1] != near[0]).mean() < 0.001
+
+
+@pytest.mark.parametrize("share", [0.002, 0.05, 0.4, 3.0])
+def test_shares_are_reached_within_a_thousandth(spark, share):
+    rows = [(i, "big" if i % 10 else "small", "word " * (1 + i % 40)) for i in range(30_000)]
+    frame = spark.createDataFrame(rows, "id long, source string, text string")
+    targets = spark.createDataFrame([(1, "big", share, 9), (1, "small", 0.01, 2)], "plan_id int, source string, target_share double, max_repeats int")
+    mixture = mixing.Mixture(frame, "id", "source", "text", targets)
+    for r in mixture.shares(mixture.drawn()).collect():
+        one = 45 / 600_000  # the largest record, as a share of all
+        assert abs(r.share_of_total - r.target_share) <= 0.001 * r.target_share + one, r
+
+
 def test_mixture(spark):
     rng = random.Random(3)
     docs = [(i, rng.choice(["A-one ", "a_one", "b", "B"]), "word " * rng.randrange(1, 60)) for i in range(1500)]
@@ -114,6 +134,13 @@ def test_garbled_words_are_found_and_restored(spark):
     assert encoding.Garbled(frame.limit(0), "doc_id", "text").restored().count() == 0
 
 
+def test_word_filter_lets_every_word_pass(spark):
+    words = [f"größe{i}" for i in range(3000)] + ["語", "é" * 500]
+    whole = encoding.word_filter(spark.createDataFrame([(w,) for w in words], "w string").repartition(3), "w", len(words))
+    assert all(encoding.passes(whole, w) for w in words)
+    assert sum(encoding.passes(whole, f"größer{i}") for i in range(3000)) < 150
+
+
 def test_garbled_counts_words_once_per_document(spark):
     frame = spark.createDataFrame([(1, "süß süß süß"), (2, "süß")], "doc_id long, text string")
     assert encoding.Garbled(frame, "doc_id", "text").spoken.groupBy("word").agg(F.count("*").alias("n")).first().n == 2
