@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,16 +116,46 @@ def wrapped(sequence: Column, width: int = 60) -> Column:
     return F.regexp_replace(sequence, f"(.{{{width}}})(?=.)", "$1\n")
 
 
-def approved_url(url: Column, host: str, path: str, allowed: list[str], most: int) -> Column:
-    """Whether a page address keeps to the approved scheme, host, path, parameters and page size."""
-    query = F.coalesce(F.parse_url(url, F.lit("QUERY")), F.lit(""))
-    names = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1))
+def _named(name: str):
+    return lambda part: F.substring_index(part, "=", 1) == name
+
+
+def approved_url(url: Column, host: str, path: str, allowed: list[str], most: int, exact: dict[str, Column] | None = None) -> Column:
+    """Whether a page address keeps to the approved scheme, host, path, parameters and page size; ``exact`` names parameters that must occur once, with that value."""
+    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    names = F.transform(parts, lambda p: F.substring_index(p, "=", 1))
     size = F.regexp_extract(query, r"(?:^|&)size=(\d{1,9})(?:&|$)", 1).try_cast("int")
-    cursors = F.size(F.filter(names, lambda n: n == "cursor"))
-    return (
+    good = (
         F.coalesce(url.rlike(f"^https://{host.replace('.', chr(92) + '.')}(:443)?{path}([?]|$)"), F.lit(False))
         & ~url.contains("#")
         & (F.size(F.array_except(names, F.array(*map(F.lit, allowed)))) == 0)
         & F.coalesce(size.between(1, most), F.lit(False))
-        & (cursors <= 1)
+        & (F.size(F.filter(names, lambda n: n == "cursor")) <= 1)
+        & (F.size(F.filter(names, lambda n: n == "size")) == 1)
     )
+    for name, value in (exact or {}).items():
+        held = F.filter(parts, _named(name))
+        good = good & (F.size(held) == 1) & F.coalesce(F.get(held, F.lit(0)) == F.concat(F.lit(f"{name}="), value), F.lit(False))
+    return good
+
+
+@F.pandas_udf("array<int>")
+def _places(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else [m.start() + 1 for m in re.finditer(p, t)] for t, p in zip(texts, patterns, strict=True)])
+
+
+def pattern_places(text: Column, pattern: str) -> Column:
+    """Where a pattern begins (1-based), hits not overlapping; null text gives null."""
+    return _places(text, F.lit(pattern))
+
+
+#: The pattern of a docking anchor and those that support it.
+ANCHOR, SUPPORTING = "S..K", ("S.N", "KTG")
+
+
+def docking_anchor(text: Column, offset: int = 0) -> dict[str, Column]:
+    """The first anchor (1-based, moved by ``offset``; null if there is none), its letters, and the places of each supporting pattern."""
+    place = F.regexp_instr(text, F.lit(ANCHOR))
+    found = {"anchor": F.when(place > 0, (place + offset).cast("long")), "motif": F.when(place > 0, F.substring(text, place, F.lit(4)))}
+    return found | {f"places_{p.replace('.', 'x')}": pattern_places(text, p) for p in SUPPORTING}

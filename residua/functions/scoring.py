@@ -86,8 +86,17 @@ def qualifies() -> Column:
     )
 
 
+#: The kinds of evidence by title; motifs and all else are structure.
+KINDS = {"Known hit identity": "novelty", "Annotation confidence": "novelty", "Best known hit": "novelty", "Composite novelty": "novelty", "Estimated compute value": "machineLoad", "Low-complexity warning": "caution"}
+NOTES = {
+    "Known hit identity": "the lower, the further from anything known", "Annotation confidence": "how far the stored name is trusted", "Sequence entropy": "how evenly the residues are used",
+    "Estimated compute value": "how much there is to compute", "Low-complexity warning": "repeats and dominant residues can feign a signal", "Composite novelty": "identity, name, motifs and cluster together",
+    "Composite confidence": "length, entropy, cluster and motifs together", "Best known hit": "closest record of the reference",
+}
+
+
 def evidence() -> Column:
-    """Array of (ordinal, title, value, weight), heaviest first; ties keep the order in which they are listed."""
+    """Array of (ordinal, kind, title, value, weight, note), heaviest first; ties keep the order in which they are listed."""
 
     def item(title: Column, value: Column, weight: Column) -> Column:
         return F.struct(title.alias("title"), value.alias("value"), weight.cast("double").alias("weight"))
@@ -106,5 +115,26 @@ def evidence() -> Column:
     hit = F.when(F.col("hit_id").isNotNull(), item(F.lit("Best known hit"), F.col("hit_id"), 1.0 - identity))
     rest = [low, scored("Composite novelty", F.col("novelty")), scored("Composite confidence", F.col("confidence")), hit]
     listed = F.filter(F.concat(F.array(*fixed), motifs, F.array(*rest)), lambda x: x.isNotNull())
-    placed = F.transform(listed, lambda x, i: F.struct((-x["weight"]).alias("order"), i.alias("ordinal"), x["title"].alias("title"), x["value"].alias("value"), x["weight"].alias("weight")))
-    return F.transform(F.array_sort(placed), lambda x: x.dropFields("order"))
+    kinds, notes = (F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) for table in (KINDS, NOTES))
+
+    def placed(x: Column, i: Column) -> Column:
+        kind, note = F.coalesce(kinds[x["title"]], F.lit("structure")), F.coalesce(notes[x["title"]], F.lit("pattern of residues"))
+        return F.struct((-x["weight"]).alias("order"), i.alias("ordinal"), kind.alias("kind"), x["title"].alias("title"), x["value"].alias("value"), x["weight"].alias("weight"), note.alias("note"))
+
+    return F.transform(F.array_sort(F.transform(listed, placed)), lambda x: x.dropFields("order"))
+
+
+def domain_evidence(domains: Column, most: int = 3) -> Column:
+    """The ``most`` strongest of an array of domains (name, accession, bits, independent_evalue, from, to, coverage, ordinal) as evidence of weight 0."""
+    ordered = F.transform(domains, lambda d: F.struct((-d["bits"]).alias("o"), d["ordinal"].alias("k"), d.alias("d")))
+    strongest = F.slice(F.array_sort(ordered), 1, most)
+
+    def item(x: Column) -> Column:
+        d = x["d"]
+        note = F.concat(
+            F.format_string("bit score %.1f, i-E-value %.1e, residues ", d["bits"], d["independent_evalue"]), d["from"].cast("string"), F.lit("-"), d["to"].cast("string"), F.lit(", "),
+            percent(d["coverage"]), F.lit(" of the profile; advisory, scores are unchanged"),
+        )
+        return F.struct(F.lit("domain").alias("kind"), F.concat(F.lit("Pfam domain "), d["name"]).alias("title"), d["accession"].alias("value"), F.lit(0.0).alias("weight"), note.alias("note"))
+
+    return F.transform(strongest, item)

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STEP = re.compile(r"\x1b\[(?P<args>[0-9;?]*)(?P<command>[@-~])|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)?|\x1b.?|(?P<sign>.)", re.DOTALL)
+_STEP = re.compile(r"\x1b\[(?P<args>[^@-~]*)(?:(?P<command>[@-~])|\Z)|\x1b\](?:[^\x07\x1b]|\x1b(?!\\))*(?:\x07|\x1b\\|\Z)|\x1b.?|(?P<sign>.)", re.DOTALL)
 
 
 def rendered(text: str | None) -> str | None:
-    """Carriage returns, cursor moves (C, D, G) and erasing (K) carried out; other control signs dropped; outer space trimmed."""
+    """Carriage returns, cursor moves (C, D, G) and erasing (K) carried out; all other control signs, tabs too, are dropped; so are spaces at the end of lines, and outer space."""
     if text is None:
         return None
     done: list[str] = []
@@ -21,26 +21,31 @@ def rendered(text: str | None) -> str | None:
     for step in _STEP.finditer(text):
         sign, command = step["sign"], step["command"]
         if command:
-            first = step["args"].split(";")[0]
-            n = int(first) if first.isdigit() else None
+            digits = "".join(c for c in step["args"] if c.isdigit())
+            n = max(1, int(digits)) if digits else 1
             if command == "C":
-                at += n or 1
+                at += n
             elif command == "D":
-                at = max(0, at - (n or 1))
+                at = max(0, at - n)
             elif command == "G":
-                at = max(0, (n or 1) - 1)
+                at = n - 1
             elif command == "K":
-                line = line[:at] if not n else ([" "] * min(at, len(line)) + line[at:] if n == 1 else [])
+                if step["args"] in ("", "0"):
+                    line = line[:at]
+                elif step["args"] == "1":
+                    line = [" "] * min(at, len(line)) + line[at:]
+                else:
+                    line, at = [], 0
         elif sign == "\n":
             done.append("".join(line))
             line, at = [], 0
         elif sign == "\r":
             at = 0
-        elif sign and (sign == "\t" or not (ord(sign) < 32 or 127 <= ord(sign) < 160)):
+        elif sign and not (ord(sign) < 32 or ord(sign) == 127):
             line += [" "] * (at + 1 - len(line))
             line[at] = sign
             at += 1
-    return "\n".join([*done, "".join(line)]).strip()
+    return "\n".join(x.rstrip(" ") for x in [*done, "".join(line)]).strip()
 
 
 @F.pandas_udf(T.StringType())

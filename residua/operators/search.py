@@ -46,8 +46,8 @@ def standard_only(residues: Column) -> Column:
     return F.regexp_replace(residues, f"[^{STANDARD}]", "")
 
 
-def seed_search(queries: DataFrame, references: DataFrame, k: int = 4) -> DataFrame:
-    """The best reference of each query by shared k-mers.
+def seed_search(queries: DataFrame, references: DataFrame, k: int = 4, candidates: int = 1) -> DataFrame:
+    """The best ``candidates`` references of each query by shared k-mers.
 
     ``queries``: query, residues, cell_wall (has that motif set). ``references``: target, residues,
     header. Windows of both sides meet by an equi-join on the window and are counted with
@@ -69,11 +69,51 @@ def seed_search(queries: DataFrame, references: DataFrame, k: int = 4) -> DataFr
     huge = F.when((F.col("q_length") < 1500) & (F.col("t_length") > 2000) & F.col("header").contains("polyketide"), 0.55).otherwise(1.0)
     ranking = F.col("support") * (shortest / longest * F.lit(0.60) + F.lit(0.40)) * wall * chem * huge
     best = Window.partitionBy("query").orderBy(F.desc("ranking"), F.desc("shared"), F.asc("target"))
-    ranked = gated.withColumn("ranking", ranking).withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    ranked = gated.withColumn("ranking", ranking).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= candidates)
     identity = F.greatest(F.lit(0.0), F.least(F.pow("support", F.lit(1.0 / k)) * 0.58, F.lit(0.95)))
-    return ranked.select("query", "target", "shared", "support", "ranking", identity.alias("identity"))
+    place = [F.col("_r").cast("long").alias("place")] if candidates > 1 else []
+    return ranked.select("query", "target", "shared", "support", "ranking", identity.alias("identity"), *place)
 
 
+#: What a search without a hit leaves behind, and how hits were found.
+NO_NATIVE_HIT, NO_MMSEQS_HIT = "no native reference hit", "no Swiss-Prot hit"
+NATIVE, MMSEQS = "native-swift", "mmseqs2"
+
+
+def _named(rows: DataFrame, hits: DataFrame, names: DataFrame | None) -> DataFrame:
+    hits = hits.withColumn("_found", F.lit(True))
+    if names is not None:
+        hits = hits.join(names.select(F.col("id").alias("hit_id"), F.col("annotation").alias("hit_annotation"), F.col("organism").alias("hit_organism")), "hit_id", "left")
+    else:
+        hits = hits.withColumns({"hit_annotation": F.lit(None).cast("string"), "hit_organism": F.lit(None).cast("string")})
+    return rows.join(hits, "id", "left")
+
+
+def apply_native(rows: DataFrame, hits: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Every row with its native hit or the sign of none: identity, hit_id, hit_annotation, hit_organism, evalue (null), bits, method, support.
+
+    ``hits``: id, hit_id, identity, support, bits (alignment score), one row per id.
+    """
+    found = _named(rows, hits.select("id", "hit_id", F.col("identity").alias("_identity"), "support", F.col("bits").cast("double").alias("bits")), names)
+    return found.withColumns({
+        "identity": F.coalesce("_identity", F.lit(0.0)), "hit_id": F.coalesce("hit_id", F.lit(NO_NATIVE_HIT)), "evalue": F.lit(None).cast("double"), "method": F.lit(NATIVE),
+    }).drop("_identity", "_found")
+
+
+def apply_mmseqs(rows: DataFrame, hits: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """As ``apply_native`` for hits with id, hit_id, identity, evalue, bits; without a hit the method stays unset."""
+    found = _named(rows, hits.select("id", "hit_id", F.col("identity").alias("_identity"), "evalue", "bits"), names)
+    return found.withColumns({
+        "identity": F.coalesce("_identity", F.lit(0.0)), "hit_id": F.coalesce("hit_id", F.lit(NO_MMSEQS_HIT)), "method": F.when(F.col("_found"), MMSEQS), "support": F.lit(None).cast("double"),
+    }).drop("_identity", "_found")
+
+
+def hit_per_id(hits: DataFrame, owners: DataFrame, ordinal: str) -> DataFrame:
+    """Hits by record as hits by id: of records that share an id, the last one that has a hit counts for all. ``owners``: id and the ordinal."""
+    fields = [c for c in hits.columns if c != ordinal]
+    last = hits.join(owners.select("id", ordinal), ordinal).groupBy("id").agg(F.max_by(F.struct(*fields), ordinal).alias("h"))
+    return last.select("id", *[F.col(f"h.{c}").alias(c) for c in fields])
+
 #: Distinct texts of one block of the all-pairs product, and windows (columns) multiplied at a time.
 BLOCK, COLUMNS = 2048, 4096
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH, MISMATCH, GAP = 2, -1, -2
@@ -81,3 +81,46 @@ def distance_map_scores(points: DataFrame) -> DataFrame:
     each = kept.select(*side("a")).join(kept.select(*side("b")), "pair").where("ai < bi")
     scored = each.groupBy("pair").agg(F.avg(F.exp(-F.abs(apart("q") - apart("t")) / DECAY)).alias("score"))
     return points.groupBy("pair").agg(F.count(F.lit(1)).alias("points")).join(scored, "pair", "left").select("pair", "points", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+#: What two structures must share to pass.
+LEAST_PAIRS, LEAST_COVERAGE, LEAST_SCORE = 180, 0.45, 0.45
+
+
+def verdict(pairs: Column, shorter: Column, score: Column) -> tuple[Column, Column]:
+    """Coverage of the shorter structure, and whether the comparison passes."""
+    coverage = pairs / F.greatest(shorter, F.lit(1))
+    return coverage, (pairs >= LEAST_PAIRS) & (coverage >= LEAST_COVERAGE) & (score >= LEAST_SCORE)
+
+
+def compare(pairs: DataFrame, carbons: DataFrame) -> DataFrame:
+    """Structures compared: aligned globally by their letters, then by the distances inside each.
+
+    ``pairs``: pair, query, target. ``carbons``: structure, i, letter, x, y, z (a structure is one molecule).
+    Result: pair, query, target, aligned, identity, coverage, score, passed. A structure without
+    carbons gives no row; a null letter counts as X.
+    """
+    letters = F.array_sort(F.collect_list(F.struct("i", F.coalesce("letter", F.lit("X")).alias("letter"))))
+    texts = carbons.groupBy("structure").agg(F.array_join(F.transform(letters, lambda r: r["letter"]), "").alias("text"))
+    both = pairs.join(texts.select(F.col("structure").alias("query"), F.col("text").alias("q")), "query").join(texts.select(F.col("structure").alias("target"), F.col("text").alias("t")), "target")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pair, query, target, a, b in batch[["pair", "query", "target", "q", "t"]].itertuples(index=False):
+                paired = trace(a, b, local=False)[1]
+                same = sum(a[i] == b[j] for i, j in paired)
+                head = {"pair": pair, "query": query, "target": target, "shorter": min(len(a), len(b)), "identity": same / len(paired) if paired else 0.0}
+                yield pd.DataFrame([head | {"place": k, "qi": i, "tj": j} for k, (i, j) in enumerate(paired)] or [head | {"place": -1, "qi": -1, "tj": -1}])
+
+    kinds = dict(pairs.dtypes)
+    places = both.mapInPandas(run, f"pair {kinds['pair']}, query {kinds['query']}, target {kinds['target']}, shorter long, identity double, place long, qi long, tj long")
+
+    def side(name: str, structure: str, at: str) -> DataFrame:
+        return carbons.select(F.col("structure").alias(structure), F.col("i").alias(at), *[F.col(c).alias(name + c) for c in "xyz"])
+
+    points = places.join(side("q", "query", "qi"), ["query", "qi"]).join(side("t", "target", "tj"), ["target", "tj"])
+    scored = distance_map_scores(points.select("pair", F.col("place").alias("i"), *[n + c for n in "qt" for c in "xyz"]))
+    heads = places.groupBy("pair").agg(*[F.first(c).alias(c) for c in ("query", "target", "shorter", "identity")])
+    out = heads.join(scored, "pair", "left").select("pair", "query", "target", F.coalesce("points", F.lit(0)).alias("aligned"), "identity", "shorter", F.coalesce("score", F.lit(0.0)).alias("score"))
+    coverage, passed = verdict(F.col("aligned"), F.col("shorter"), F.col("score"))
+    return out.select("pair", "query", "target", "aligned", "identity", coverage.alias("coverage"), "score", passed.alias("passed"))

@@ -231,18 +231,22 @@ def fasta_lines(spark, folder):
 
 @query
 def anchor(spark, folder):
-    """The first S..K of each model, 1-based, as a docking anchor."""
+    """The first S..K of each model, 1-based, as a docking anchor, with how many supporting patterns the model has."""
     rows = read(spark, folder, "alphafold_cache").where("sequence is not null").select("record_ordinal", rx.clean_sequence(F.col("sequence")).alias("s"))
-    place = F.regexp_instr("s", F.lit("S..K"))
-    return rows.where(place > 0).select("record_ordinal", place.cast("long").alias("anchor"), F.substring("s", place, F.lit(4)).alias("motif"))
+    found = rows.select("record_ordinal", *[c.alias(n) for n, c in rx.docking_anchor(F.col("s")).items()]).where("anchor is not null")
+    return found.select("record_ordinal", "anchor", "motif", F.size("places_SxN").cast("long").alias("sxn"), F.size("places_KTG").cast("long").alias("ktg"))
 
 
 @query
 def url_contract(spark, folder):
-    rows = read(spark, folder, "reference_headers")
+    rows = read(spark, folder, "reference_headers").where("id is not null")
+    user = F.when(F.col("header_ordinal") % 11 == 0, "u:p@").otherwise("")
+    port = F.expr("case header_ordinal % 13 when 0 then ':443' when 1 then ':8443' else '' end")
+    asked = F.when(F.col("header_ordinal") % 17 == 0, "other").otherwise(F.col("id"))
     tail = F.expr("case header_ordinal % 5 when 0 then '' when 1 then '&cursor=a' when 2 then '&cursor=a&cursor=b' when 3 then '&other=1' else '#x' end")
-    url = F.concat(F.lit("https://rest.example.org/search?query="), "id", F.lit("&size="), (F.col("header_ordinal") % 700).cast("string"), tail)
-    return rows.select("header_ordinal", rx.approved_url(url, "rest.example.org", "/search", ["query", "size", "cursor"], 500).alias("approved"))
+    url = F.concat(F.lit("https://"), user, F.lit("rest.example.org"), port, F.lit("/search?query="), asked, F.lit("&format=fasta&size="), (F.col("header_ordinal") % 700).cast("string"), tail)
+    exact = {"query": F.col("id"), "format": F.lit("fasta")}
+    return rows.select("header_ordinal", rx.approved_url(url, "rest.example.org", "/search", ["query", "format", "size", "cursor"], 500, exact).alias("approved"))
 
 
 @query
@@ -275,24 +279,27 @@ def distance_map(spark, folder):
     return structure.distance_map_scores(points.select("pair", "i", *axes)).select("pair", "points", _six("score"))
 
 
-def _sample_pairs(spark, folder) -> DataFrame:
-    rows = read(spark, folder, "sample_proteins").select("record_ordinal", rx.clean_sequence(F.col("sequence")).alias("s"))
-    x = rows.select(F.col("record_ordinal").alias("a"), F.col("s").alias("left"))
-    return x.join(rows.select(F.col("record_ordinal").alias("b"), F.col("s").alias("right")), F.col("a") < F.col("b"))
+def _seed_pairs(spark, folder) -> DataFrame:
+    """Every protein whose ordinal is divisible by 50 with its nearest cached model, as texts to align."""
+    found = seed_search(spark, folder).select(F.col("query").alias("a"), F.col("target").alias("b"))
+    left, right = (read(spark, folder, t).select(F.col("record_ordinal").alias(c), rx.clean_sequence(F.col("sequence")).alias(n)) for t, c, n in (("proteins", "a", "left"), ("alphafold_cache", "b", "right")))
+    return found.join(left, "a").join(right, "b")
 
 
 @query
 def local_alignment(spark, folder):
-    return structure.align(_sample_pairs(spark, folder), "left", "right", "a", "b", local=True)
+    return structure.align(_seed_pairs(spark, folder), "left", "right", "a", "b", local=True)
 
 
 @query
 def global_alignment(spark, folder):
-    return structure.align(_sample_pairs(spark, folder), "left", "right", "a", "b", local=False)
+    return structure.align(_seed_pairs(spark, folder), "left", "right", "a", "b", local=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from residua.plans import evidence
+
+    return QUERIES | evidence.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
