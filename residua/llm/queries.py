@@ -41,16 +41,22 @@ def hits(spark: SparkSession, folder: str, search: str) -> DataFrame:
     )
 
 
-#: The ledger is replayed in so many batches of about equal size, split between cycles.
-REPLAYS = 8
+#: Cycles at the end of the ledger that are entered one at a time; all earlier ones are loaded in bulk, in so many batches.
+SINGLE, BULK = 4, 2
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of processed that repeat, exactly or nearly, a row of an earlier cycle: the ledger replayed batch by batch."""
+    """Rows of processed that repeat, exactly or nearly, a row of an earlier cycle.
+
+    The index is filled with all cycles but the last few in bulk (a batch may hold many cycles, and a row
+    is compared with earlier cycles of its own batch as well), then the last cycles come one by one, as they
+    would from day to day. Every row is judged, by the same operator.
+    """
     ledger = read(spark, folder, "processed").select(
         F.col("record_ordinal").alias("id"), F.col("seq_sha256").alias("digest"), clean_sequence(F.col("sequence")).alias("text"), F.col("first_seen_cycle").alias("cycle")
     )
-    ends = sorted({int(x) for x in ledger.approxQuantile("cycle", [i / REPLAYS for i in range(1, REPLAYS)], 0.01)})
+    last = sorted(int(r.cycle) for r in ledger.select("cycle").where("cycle is not null").distinct().orderBy(F.desc("cycle")).limit(SINGLE + 1).collect())
+    ends = sorted({*(int(x) for x in ledger.approxQuantile("cycle", [i / BULK for i in range(1, BULK)], 0.01)), *last[:-1]})
     history, found = History(spark), []
     for low, high in zip([None, *ends], [*ends, None], strict=True):
         batch = ledger if low is None else ledger.where(F.col("cycle") > low)
