@@ -272,9 +272,12 @@ def brute_repeats(rows):
     return {i for i, d, t, c in rows if c is not None and any(o[3] is not None and o[3] < c and ((d is not None and o[1] is not None and o[1].lower() == d.lower()) or (t is not None and o[2] is not None and similarity(t, o[2]) >= 0.5)) for o in rows)}
 
 
-@pytest.mark.parametrize("first_look", [16, 1])
-def test_history_equals_brute_force(spark, monkeypatch, first_look):
+@pytest.mark.parametrize(("first_look", "small"), [(16, 10**6), (1, 10**6), (16, 0), (1, 0)])
+def test_history_equals_brute_force(spark, monkeypatch, first_look, small):
     monkeypatch.setattr(history, "FIRST_LOOK", first_look)
+    monkeypatch.setattr(history, "SMALL_POSTINGS", small)
+    monkeypatch.setattr(history, "SMALL_ROWS", small)
+    monkeypatch.setattr(history, "FAN", 2)
     rng = random.Random(11)
     texts = [*family(6, 9, 7), *ODD]
     rng.shuffle(texts)
