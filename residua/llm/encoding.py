@@ -243,7 +243,7 @@ def _united(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece").slice(0, 1).cast(pa.int32()), "blob": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
 
-def word_filter(words: DataFrame, column: str, n: int) -> np.ndarray:
+def word_filter(words: DataFrame, column: str, n: int) -> bytes:
     """Bits set at two places of the hash of every word; a power of two of them, 16 MB at most."""
     bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(BITS_PER_WORD * max(1, n))))))
     marks = words.select(F.xxhash64(column).alias("h")).mapInArrow(partial(_marked, bits), "piece int, blob binary")
@@ -251,13 +251,14 @@ def word_filter(words: DataFrame, column: str, n: int) -> np.ndarray:
     for row in marks.groupBy("piece").applyInArrow(_united, "piece int, blob binary").toLocalIterator():
         part = np.frombuffer(row.blob, np.uint8)
         whole[row.piece * len(part) : (row.piece + 1) * len(part)] = part
-    return whole
+    return whole.tobytes()
 
 
-def passes(whole: np.ndarray, word: str) -> bool:
+def passes(whole: bytes, word: str) -> bool:
     """False only if ``word`` is none of the words of the filter."""
     h, last = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42), len(whole) * 8 - 1  # as Spark hashes it
-    return all(whole[at >> 3] >> (at & 7) & 1 for at in (h & last, (h >> 32) & last))
+    low, high = h & last, (h >> 32) & last
+    return bool(whole[low >> 3] >> (low & 7) & 1 and whole[high >> 3] >> (high & 7) & 1)
 
 
 def _forms(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
