@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The twenty standard residues, the ambiguity codes and the gap signs.
 STANDARD = "ACDEFGHIKLMNPQRSTVWY"
@@ -140,7 +141,7 @@ def approved_url(url: Column, host: str, path: str, allowed: list[str], most: in
     return good
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _places(texts: pd.Series, patterns: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [m.start() + 1 for m in re.finditer(p, t)] for t, p in zip(texts, patterns, strict=True)])
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,23 @@ from residua.functions.residues import STANDARD
 LEAST_SUPPORT, LEAST_SHARED = 0.025, 18
 
 
+def kmer_sets(rows: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct k-letter windows of ASCII texts, packed at five bits a letter: text number and code, sorted by both, and how many each text has."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    letters = np.frombuffer("".join(rows).encode("ascii"), np.uint8).astype(np.int64) - 64
+    counts = np.maximum(lengths - k + 1, 0)
+    owner = np.repeat(np.arange(len(rows)), counts)
+    place = (np.cumsum(lengths) - lengths)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    code = np.zeros(len(owner), np.int64)
+    for i in range(k):
+        code = (code << 5) | letters[place + i]
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+    return owner[fresh], code[fresh], np.bincount(owner[fresh], minlength=len(rows))
+
+
 def packed_kmers(residues: Column, k: int) -> Column:
     """Distinct k-letter windows of texts of the twenty letters, packed into one number each; none in a shorter text."""
     if k > 12:
@@ -23,20 +42,8 @@ def packed_kmers(residues: Column, k: int) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def run(texts: pd.Series) -> pd.Series:
-        rows = texts.fillna("").tolist()
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        letters = np.frombuffer("".join(rows).encode("ascii"), np.uint8).astype(np.int64) - 64
-        counts = np.maximum(lengths - k + 1, 0)
-        owner = np.repeat(np.arange(len(rows)), counts)
-        place = (np.cumsum(lengths) - lengths)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        code = np.zeros(len(owner), np.int64)
-        for i in range(k):
-            code = (code << 5) | letters[place + i]
-        order = np.lexsort((code, owner))
-        owner, code = owner[order], code[order]
-        fresh = np.ones(len(owner), bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
-        return pd.Series(np.split(code[fresh], np.cumsum(np.bincount(owner[fresh], minlength=len(rows)))[:-1]))
+        _, code, sizes = kmer_sets(texts.fillna("").tolist(), k)
+        return pd.Series(np.split(code, np.cumsum(sizes)[:-1]))
 
     return run(residues)
 
@@ -46,15 +53,75 @@ def standard_only(residues: Column) -> Column:
     return F.regexp_replace(residues, f"[^{STANDARD}]", "")
 
 
-def seed_search(queries: DataFrame, references: DataFrame, k: int = 4, candidates: int = 1) -> DataFrame:
-    """The best ``candidates`` references of each query by shared k-mers.
-
-    ``queries``: query, residues, cell_wall (has that motif set). ``references``: target, residues,
-    header. Windows of both sides meet by an equi-join on the window and are counted with
-    map-side combination. Order: ranking score, then shared windows (both descending), then target.
-    Result: query, target, shared, support, ranking, identity; queries without a hit are absent.
-    Null residues have no windows.
-    """
+#: Queries of one block of the seed scan, references looked at together, and blocks and letters of queries up to which references are scanned and not shuffled.
+BLOCK_QUERIES, TOGETHER, MOST_BLOCKS, MOST_LETTERS = 2000, 500, 10, 20_000_000
+
+
+def _ranking(shared, nq, nt, q_length, t_length, factor):
+    """Support and ranking score; the same arithmetic for columns and arrays."""
+    support = shared / np.minimum(np.maximum(nq, 1), nt)
+    asked = np.maximum(q_length, 1)
+    return support, support * (np.minimum(asked, t_length) / np.maximum(asked, t_length) * 0.60 + 0.40) * factor
+
+
+def _scan_block(shared, k: int, candidates: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """References of a batch against one block of queries: window counts as a small matrix, and of each query the best few."""
+    ids, by_code, asker, nq, q_length, wall = shared.value
+    n = len(nq)
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            owner, code, nt = kmer_sets(part.column("q").to_pylist(), k)
+            first, last = np.searchsorted(by_code, code), np.searchsorted(by_code, code, "right")
+            many = last - first
+            place = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            counts = np.bincount(np.repeat(owner, many) * n + asker[place], minlength=part.num_rows * n)
+            hit = np.flatnonzero(counts)
+            target, asked, both = hit // n, hit % n, counts[hit]
+            header = part.column("header").to_pylist()
+            chemistry = np.array(["polyketide" in h for h in header], bool)
+            function = np.array([any(w in h for w in ("penicillin-binding", "transpeptidase", "carboxypeptidase")) for h in header], bool)
+            t_length = part.column("t_length").to_numpy(zero_copy_only=False)
+            factor = np.where(wall[asked] & function[target], 2.4, 1.0)
+            factor = factor * np.where(wall[asked] & chemistry[target], 0.35, 1.0) * np.where((q_length[asked] < 1500) & (t_length[target] > 2000) & chemistry[target], 0.55, 1.0)
+            support, ranking = _ranking(both, nq[asked], nt[target], q_length[asked], t_length[target], factor)
+            gated = np.flatnonzero((support >= LEAST_SUPPORT) | (both >= LEAST_SHARED))
+            gated = gated[np.lexsort((-both[gated], -ranking[gated], asked[gated]))]
+            run = np.flatnonzero(np.concatenate([[True], asked[gated][1:] != asked[gated][:-1]])) if len(gated) else np.zeros(0, int)
+            size = np.diff(np.concatenate([run, [len(gated)]]))
+            limit = gated[np.minimum(run + candidates, run + size) - 1] if len(gated) else gated
+            # Ties with the last of the best few stay: the target decides between them, over all batches.
+            edge = np.repeat(limit, size)
+            kept = gated[(ranking[gated] > ranking[edge]) | ((ranking[gated] == ranking[edge]) & (both[gated] >= both[edge]))]
+            yield pa.RecordBatch.from_pydict({
+                "query": ids.take(pa.array(asked[kept])), "target": part.column("target").take(pa.array(target[kept])), "shared": both[kept].astype(np.int64),
+                "support": support[kept].astype(np.float64), "ranking": ranking[kept].astype(np.float64),
+            })
+
+
+def _scanned(queries: DataFrame, references: DataFrame, k: int, candidates: int) -> DataFrame | None:
+    """All blocks of queries against one scan of the references each, or None if the queries are too many or too long for that."""
+    asked = queries.select("query", F.col("cell_wall").cast("boolean").alias("wall"), F.length("residues").alias("n"), standard_only(F.col("residues")).alias("q")).where("q is not null")
+    size = asked.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("q").cast("long")).alias("letters")).first()
+    if size.rows > BLOCK_QUERIES * MOST_BLOCKS or (size.letters or 0) > MOST_LETTERS:
+        return None
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *references.schema.fields]}
+    schema = f"query {kinds['query']}, target {kinds['target']}, shared long, support double, ranking double"
+    known = references.select("target", F.lower(F.coalesce("header", F.lit(""))).alias("header"), F.length("residues").alias("t_length"), standard_only(F.col("residues")).alias("q")).where("q is not null")
+    held, found = asked.toArrow(), queries.sparkSession.createDataFrame([], schema)
+    for at in range(0, held.num_rows, BLOCK_QUERIES):
+        part = held.slice(at, BLOCK_QUERIES).combine_chunks()
+        owner, code, nq = kmer_sets(part.column("q").to_pylist(), k)
+        order = np.argsort(code, kind="stable")
+        wall = np.array([bool(w) for w in part.column("wall").to_pylist()], bool)
+        block = (part.column("query").combine_chunks(), code[order], owner[order], nq, part.column("n").to_numpy(), wall)
+        shared = queries.sparkSession.sparkContext.broadcast(block)  # 2,000 queries
+        found = found.unionAll(known.mapInArrow(partial(_scan_block, shared, k, candidates), schema))
+    return found
+
+
+def _joined(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """All pairs that pass the gates, by an equi-join on the window, counted with map-side combination."""
     q = queries.select("query", "cell_wall", F.length("residues").alias("q_length"), packed_kmers(standard_only(F.col("residues")), k).alias("ks"))
     t = references.select("target", F.lower(F.coalesce("header", F.lit(""))).alias("header"), F.length("residues").alias("t_length"), packed_kmers(standard_only(F.col("residues")), k).alias("ks"))
     q_windows = q.select("query", F.explode("ks").alias("w"))
@@ -67,9 +134,24 @@ def seed_search(queries: DataFrame, references: DataFrame, k: int = 4, candidate
     wall = F.when(F.col("cell_wall") & F.col("header").rlike("penicillin-binding|transpeptidase|carboxypeptidase"), 2.4).otherwise(1.0)
     chem = F.when(F.col("cell_wall") & F.col("header").contains("polyketide"), 0.35).otherwise(1.0)
     huge = F.when((F.col("q_length") < 1500) & (F.col("t_length") > 2000) & F.col("header").contains("polyketide"), 0.55).otherwise(1.0)
-    ranking = F.col("support") * (shortest / longest * F.lit(0.60) + F.lit(0.40)) * wall * chem * huge
+    ranking = F.col("support") * (shortest / longest * F.lit(0.60) + F.lit(0.40)) * (wall * chem * huge)
+    return gated.select("query", "target", "shared", "support", ranking.alias("ranking"))
+
+
+def seed_search(queries: DataFrame, references: DataFrame, k: int = 4, candidates: int = 1) -> DataFrame:
+    """The best ``candidates`` references of each query by shared k-mers.
+
+    ``queries``: query (unique), residues, cell_wall (has that motif set). ``references``: target, residues,
+    header. Up to MOST_BLOCKS blocks of queries are each broadcast to a scan of the references, which
+    are not shuffled and of which only the best few per query and batch leave their task. More queries meet the
+    references by an equi-join on the window. Order: ranking score, then shared windows (both
+    descending), then target. Result: query, target, shared, support, ranking, identity, and place if
+    ``candidates`` is above one; queries without a hit are absent. Null residues have no windows.
+    """
+    found = _scanned(queries, references, k, candidates)
+    found = _joined(queries, references, k) if found is None else found
     best = Window.partitionBy("query").orderBy(F.desc("ranking"), F.desc("shared"), F.asc("target"))
-    ranked = gated.withColumn("ranking", ranking).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= candidates)
+    ranked = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= candidates)
     identity = F.greatest(F.lit(0.0), F.least(F.pow("support", F.lit(1.0 / k)) * 0.58, F.lit(0.95)))
     place = [F.col("_r").cast("long").alias("place")] if candidates > 1 else []
     return ranked.select("query", "target", "shared", "support", "ranking", identity.alias("identity"), *place)

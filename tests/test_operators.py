@@ -176,6 +176,22 @@ def test_hits_are_applied(spark):
     assert got[1] == ("T2", "mmseqs2", 1e-30) and got[2] == ("no Swiss-Prot hit", None, None)
 
 
+def test_seed_scan_equals_the_join(spark, monkeypatch):
+    rng = random.Random(12)
+    pieces = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(30)) for _ in range(12)]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 6))) for _ in range(300)] + [None, "", "ACD", "XXXX"]
+    headers = [rng.choice([None, "Transpeptidase", "polyketide thing", "x"]) for _ in texts]
+    q = spark.createDataFrame([(i, t, rng.random() < 0.5, 1) for i, t in enumerate(texts[:60] + texts[-4:])], "query int, residues string, cell_wall boolean, target int")
+    t = spark.createDataFrame([((f"f{i % 3}", i), t, h) for i, (t, h) in enumerate(zip(texts, headers, strict=True))], "target struct<path: string, n: int>, residues string, header string").repartition(3)
+    found = {}
+    for blocks in (10, 0):
+        monkeypatch.setattr(search, "MOST_BLOCKS", blocks)
+        monkeypatch.setattr(search, "BLOCK_QUERIES", 7 if blocks else 2000)
+        found[blocks] = sorted((r["query"], r.place, tuple(r.target), r.shared, round(r.ranking, 12)) for r in search.seed_search(q.drop("target"), t, candidates=3).collect())
+    assert found[10] == found[0] and len(found[0]) > 100
+    assert search.seed_search(q.drop("target").limit(0), t).count() == 0 and search.seed_search(q.drop("target"), t.limit(0)).count() == 0
+
+
 def test_several_seeds_per_query(spark):
     q = spark.createDataFrame([(1, "ACDEFGHIKLMNPQ", False)], "query int, residues string, cell_wall boolean")
     t = spark.createDataFrame([(i, "ACDEFGHIKLMNPQ"[: 14 - i], None) for i in range(5)], "target int, residues string, header string")
