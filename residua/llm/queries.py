@@ -42,7 +42,7 @@ def hits(spark: SparkSession, folder: str, search: str) -> DataFrame:
 
 
 #: Cycles at the end of the ledger that are entered one at a time; all earlier ones are loaded in bulk, in so many batches.
-SINGLE, BULK = 4, 2
+SINGLE, BULK = 2, 2
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
