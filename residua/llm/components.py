@@ -10,16 +10,22 @@ from residua.llm.workspace import Workspace
 #: A key is hot with more than one row in so many (and more than LEAST); there can be at most twice as many hot keys.
 HOT_SHARE, LEAST = 2000, 1000
 SALTS = 32
+#: Rows that one task joins with ease, even if all have one key: up to so many nothing is spread.
+EASY = 100_000
 
 
-def _hot(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """Keys that hold more than one in HOT_SHARE of about ``n`` rows; counted on the map side first, so no task sees all rows of one."""
+def _hot(rows: DataFrame, key: str, n: int) -> DataFrame | None:
+    """Keys that hold more than one in HOT_SHARE of about ``n`` rows; counted on the map side first, so no task sees all rows of one. None if all rows are EASY."""
+    if n <= EASY:
+        return None
     counts = rows.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
     return counts.where(F.col("rows") > max(LEAST, n // HOT_SHARE)).select("k")
 
 
-def _look_up(rows: DataFrame, key: str, other: str, table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+def _look_up(rows: DataFrame, key: str, other: str, table: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` with ``value`` of their ``key`` in ``table`` (k, value); rows of hot keys are spread over salts by ``other``, and their one entry is repeated per salt."""
+    if hot is None:
+        return rows.withColumnRenamed(key, "k").join(table, "k", how).withColumnRenamed("k", key)
     known = F.broadcast(hot.select("k", F.lit(True).alias("_hot")))
     salted = rows.withColumnRenamed(key, "k").join(known, "k", "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
@@ -55,7 +61,7 @@ def connected_groups(links: DataFrame, left: str, right: str, *, workspace: Work
         turn += 1
         ends = edges.select(F.col("u").alias("c"), F.col("v").alias("d")).unionAll(edges.select("v", "u"))
         hooks = workspace.save(ends.groupBy("c").agg(F.min("d").alias("p"), F.count(F.lit(1)).alias("degree")), f"hooks-{turn}")
-        crowded = hooks.where(F.col("degree") > max(LEAST, n_edges // HOT_SHARE)).select(F.col("c").alias("k"))
+        crowded = None if 2 * n_edges <= EASY else hooks.where(F.col("degree") > max(LEAST, n_edges // HOT_SHARE)).select(F.col("c").alias("k"))
         # Who hooks onto a vertex has an edge to it, so a vertex with many hooks has a high degree.
         back = _look_up(hooks.select("c", "p"), "p", "c", hooks.select(F.col("c").alias("k"), F.col("p").alias("pp")), crowded)
         parents = back.select(
@@ -65,14 +71,14 @@ def connected_groups(links: DataFrame, left: str, right: str, *, workspace: Work
         while moving:
             step += 1
             up = parents.select(F.col("c").alias("k"), F.col("p").alias("pp"))
-            jumped = _look_up(parents, "p", "c", up, _hot(parents, "p", n_edges)).select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved"))
+            jumped = _look_up(parents, "p", "c", up, _hot(parents, "p", 2 * n_edges)).select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved"))
             jumped = workspace.save(jumped, f"parents-{turn}-{step}")
             moving = jumped.where("moved").count()
             parents = jumped.select("c", "p")
             workspace.drop(f"parents-{turn}-{step - 1}")
         # All of a tree now point to its root, which need not be the smallest of them.
         smallest = parents.groupBy(F.col("p").alias("k")).agg(F.min("c").alias("root"))
-        labels = _look_up(parents, "p", "c", smallest, _hot(parents, "p", n_edges)).select("c", "root")
+        labels = _look_up(parents, "p", "c", smallest, _hot(parents, "p", 2 * n_edges)).select("c", "root")
         labels = workspace.save(labels, f"labels-{turn}")
         table = labels.withColumnRenamed("c", "k")
         moved = _look_up(edges, "u", "v", table, crowded).select(F.col("root").alias("u"), "v")

@@ -136,15 +136,17 @@ def test_components_with_hot_labels(spark, monkeypatch):
 
     monkeypatch.setattr(components, "HOT_SHARE", 10**9)
     monkeypatch.setattr(components, "LEAST", 20)
+    monkeypatch.setattr(components, "EASY", 0)
     links = [("m", f"a{i:04d}") for i in range(1500)] + [(f"a{i:04d}", f"b{i:04d}") for i in range(0, 1500, 3)] + [("z1", "z2")]
     links += [(f"k{i // 2:04d}", f"k{i:04d}") for i in range(1, 700)]
     got = {r.record: r.group for r in connected_groups(spark.createDataFrame(links, "a string, b string"), "a", "b").collect()}
     assert got == brute_groups(links)
 
 
-def test_a_hot_key_is_spread_over_partitions(spark):
+def test_a_hot_key_is_spread_over_partitions(spark, monkeypatch):
     from residua.llm import components
 
+    monkeypatch.setattr(components, "EASY", 0)
     rows = spark.range(40_000).select(F.when(F.col("id") % 50 > 0, "hub").otherwise(F.col("id").cast("string")).alias("p"), F.col("id").alias("c"))
     table = rows.select("p").distinct().select(F.col("p").alias("k"), F.length("p").alias("value"))
     joined = components._look_up(rows, "p", "c", table.hint("merge"), components._hot(rows, "p", 40_000))
