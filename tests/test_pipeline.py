@@ -318,3 +318,33 @@ def test_ledger_commands(spark, tmp_path, capsys):
     assert cli.main(["dashboard", "--ledger", book, "--out", str(tmp_path / "d.html")]) == 0 and cli.main(["host"]) == 0
     with pytest.raises(SystemExit):
         cli.main(["rank", "--unknown"])
+
+
+def test_latest_run_and_hit_lines(spark, tmp_path):
+    from residua.sources import tables
+
+    for name, score in (("run-2026-01-01", 0.1), ("run-2026-01-02", 0.9)):
+        reports.write_json(tmp_path / f"{name}.json", {"candidates": [{"id": "x", "sequence": {"id": "A1", "sequence": "MK"}, "noveltyScore": score, "classification": "c"}]})
+    assert [tuple(r) for r in tables.read_latest_run(spark, str(tmp_path)).collect()] == [("A1", 0.9, "c")]
+    hits = spark.createDataFrame([("b", "t", 0.5, 0.25, 40), ("a", "u", 1.0, 0.1, 4)], "query string, target string, identity double, support double, bits int")
+    reports.write_hits(hits, str(tmp_path / "hits"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "hits")).collect()) == ["a\tu\t1.0000\t0.1000\t4.0000", "b\tt\t0.5000\t0.2500\t40.0000"]
+    assert tables.read_json_object(str(tmp_path / "run-2026-01-01.json"), "candidates")["candidates"][0]["id"] == "x"
+    for bad in ((str(tmp_path / "none.json"),), (str(tmp_path / "run-2026-01-01.json"), "absent")):
+        with pytest.raises((FileNotFoundError, ValueError)):
+            tables.read_json_object(*bad)
+
+
+def test_worker_commands(spark, tmp_path, capsys):
+    places = worker.Places(tmp_path / "w")
+    put(places.reference, REFERENCE)
+    put(places.inbox / "a.fasta", QUERY)
+    config = put(tmp_path / "c.json", json.dumps({"diskFloorGB": 0, "simReserveBytes": "auto"}))
+    assert cli.main(["cycle", "--root", str(places.root), "--config", config, "--dry-run"]) == 0
+    assert cli.main(["cycle", "--root", str(places.root), "--config", config]) == 0
+    assert cli.main(["status", "--root", str(places.root), "--config", config]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert said[:2] == ["would read a.fasta", "cycle 1: 0 new"] and "cycles=1" in said and "network=False" in said
+    reference, jobs = put(tmp_path / "r.fasta", ">r\nA\n"), put(tmp_path / "jobs.json", json.dumps([payload("a", "ACD"), payload("b", "ACD")]))
+    assert cli.main(["queue", "--candidates", jobs, "--run-dir", str(tmp_path / "q"), "--reference", reference, "--accession", "b", "--config", put(tmp_path / "q.json", '{"simReserveBytes": 0}')]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["ran"] == 0
