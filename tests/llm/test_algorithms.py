@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +306,59 @@ def test_postings_never_miss_a_similar_pair():
             if similarity(a, b) >= 0.5:
                 owner, token, _ = history.postings([a, b], order, 0.5)
                 assert set(token[owner == 0].tolist()) & set(token[owner == 1].tolist()), (n, a, b)
+
+
+#: Seeds of texts whose first half shares too little in any 24 of its classes.
+HIDDEN = (874, 4315, 4776, 7945)
+
+
+def whole_and_half(seed):
+    whole = "".join(random.Random(seed).choices("ACDEFGHIKLMNPQRSTVWY", k=294))
+    return whole, whole[:149]
+
+
+def test_postings_of_all_classes_hold_a_pair_at_the_bound():
+    order = np.zeros(1 << history.ORDER_BITS, np.uint8)
+    for seed in HIDDEN:
+        whole, half = whole_and_half(seed)
+        assert 0.5 <= similarity(whole, half) < 0.51
+        owner, token, _ = history.postings([whole, half], order, 0.5)
+        assert set(token[owner == 0].tolist()) & set(token[owner == 1].tolist()), seed
+
+
+def test_history_finds_pairs_at_the_bound(spark):
+    texts = [(seed, *whole_and_half(seed)) for seed in HIDDEN]
+    first = [(seed, f"x{seed}", (whole, half)[seed % 2], 1) for seed, whole, half in texts]
+    second = [(seed + 10_000, f"y{seed}", (half, whole)[seed % 2], 2) for seed, whole, half in texts]
+    frame = spark.createDataFrame(first + second, "id long, digest string, text string, cycle int")
+    assert {r.id for r in history.History(spark).ingest(frame).collect()} == {r[0] for r in second}
+    book = history.History(spark)
+    assert book.ingest(frame.where("cycle = 1")).count() == 0
+    assert {r.id for r in book.ingest(frame.where("cycle = 2")).collect()} == {r[0] for r in second}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_postings_hold_pairs_at_the_bound_of_any_sizes(threshold):
+    order = np.zeros(1 << history.ORDER_BITS, np.uint8)
+    rng, texts = random.Random(3), []
+    for _ in range(400):
+        a = rng.choice([5, 20, 31, 32, 33, 63, 64, 65, 66, 129, 300])
+        b = max(1, int(a * rng.uniform(threshold, 1)))
+        shared = min(b, math.ceil(threshold / (1 + threshold) * (a + b)) + 1)
+        head = protein(rng, shared + 4)
+        texts += [head + protein(rng, a - shared), head + protein(rng, b - shared)]
+    owner, token, _ = history.postings(texts, order, threshold)
+    held = [set() for _ in texts]
+    for i, t in zip(owner.tolist(), token.tolist(), strict=True):
+        held[i].add(t)
+    alike = [i for i in range(0, len(texts), 2) if similarity(texts[i], texts[i + 1]) >= threshold]
+    assert len(alike) > 300 and all(held[i] & held[i + 1] for i in alike)
+
+
+def test_blocks_of_texts_are_bounded_by_letters(monkeypatch):
+    monkeypatch.setattr(history, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(history, "BLOCK_LETTERS", 10)
+    lengths = [4, 5, 1, 1, 30, 2, 2, 2, 2, 11, 0]
+    batch = pa.RecordBatch.from_pydict({"text": ["A" * n for n in lengths]})
+    got = [[len(t) for t in b.column("text").to_pylist()] for b in history._blocks(batch)]
+    assert got == [[4, 5, 1], [1], [30], [2, 2, 2], [2], [11], [0]]
