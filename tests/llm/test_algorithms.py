@@ -362,3 +362,33 @@ def test_blocks_of_texts_are_bounded_by_letters(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": ["A" * n for n in lengths]})
     got = [[len(t) for t in b.column("text").to_pylist()] for b in history._blocks(batch)]
     assert got == [[4, 5, 1], [1], [30], [2, 2, 2], [2], [11], [0]]
+
+
+@pytest.mark.parametrize("chunk", [1000, 40, 3])
+@pytest.mark.parametrize("bits", [1, 3])
+def test_own_postings_meet_however_a_slot_is_cut(monkeypatch, chunk, bits):
+    monkeypatch.setattr(history, "CHUNK", chunk)
+    rng = np.random.default_rng(2)
+    n = 600
+    top, low = (rng.integers(0, 4, n) << 14).astype(np.uint16), rng.integers(0, 40, n).astype(np.uint32)
+    cycle, ident, size = rng.integers(0, 5, n).astype(np.int16), np.arange(n), np.full(n, 100, np.uint16)
+    parts = [np.arange(at, min(at + 25, n)) for at in range(0, n, 25)]
+    rows = sorted((b, blob) for p in parts for b, blob in blobs.cut((top[p] >> 15).astype(np.int64), [x[p] for x in (top, low, cycle, blobs.small(ident), size)]))
+    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
+    made = [r for b in history._chunked(bits, iter([pa.RecordBatch.from_pylist([{"bucket": b, "blob": x} for b, x in rows], schema)])) for r in b.to_pylist()]
+    assert sum(len(blobs.unpack(r["blob"])[0]) for r in made) == n
+    assert {r["alone"] for r in made} == ({1} if chunk == 1000 else {0})
+    rest = pa.RecordBatch.from_pylist(sorted(({"bucket": r["bucket"], "kind": 1, "blob": r["blob"]} for r in made if not r["alone"]), key=lambda r: r["bucket"]), pa.schema([("bucket", pa.int64()), ("kind", pa.int64()), ("blob", pa.binary())]))
+    alone = pa.RecordBatch.from_pylist([{"blob": r["blob"]} for r in made if r["alone"]], schema.remove(0))
+    got = [(r["b"], r["a"]) for found in (history._within(0.5, None, iter([alone])), history._gather(0.5, None, iter([rest]))) for b in found for r in b.to_pylist()]
+    assert set(got) == {(b, a) for b in range(n) for a in range(n) if top[a] == top[b] and low[a] == low[b] and cycle[a] < cycle[b]}
+
+
+def test_windows_of_ascii_letters_have_different_hashes():
+    texts = ["".join(random.Random(i).choices("".join(map(chr, range(128))), k=5000)) for i in range(40)]
+    points, _ = windows.letters(["".join(texts)])
+    codes, hashed = windows.five_codes(points), history._window_hashes(points)
+    assert len(np.unique(codes)) == len(np.unique(hashed)) and hashed.max() < 1 << 48
+    mixed, _ = windows.letters(["ABCDEFéGHIJKLM"])
+    plain, _ = windows.letters(["GHIJKLM"])
+    assert history._window_hashes(mixed)[7:].tolist() == history._window_hashes(plain).tolist()
